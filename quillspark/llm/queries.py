@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, quality_rules
+from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
+    "op4_near_dedup": near_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_byte_bpe": byte_bpe.op6,
+    "op10_packing": packing.op10,
 }
 
 ORACLE_SQL = {
