@@ -7,8 +7,8 @@
    binary pieces of the ids.
 
 A document's text crosses the network once, compressed; the merges run once a distinct word.
-Words longer than FOLD_BYTES (the fold is quadratic) take the library's own encoder, with the
-same result.
+Words longer than FOLD_BYTES (the fold is quadratic) are encoded by the library where their block
+is put together, with the same result.
 
 Defined cases: null counts as empty, which has no ids; null ids and repeated rows are kept; extra
 columns are ignored; an empty table gives an empty result.
@@ -22,7 +22,6 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import env_path, table
 
 #: Characters of text in a block; one longer document is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 28_000_000
 FOLD_BYTES = 160
 #: Buckets of the literal map, so that a lookup reads few entries.
 BUCKETS = 1 << 13
@@ -138,17 +137,17 @@ def block_words(texts: list[str], findall) -> tuple[dict[str, int], dict, dict,
     return words, rest, first, whole
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, pa.Table]]:
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
     """Documents in blocks of about ``limit`` characters, named by their contents."""
 
-    def named(rows: list[pa.RecordBatch]) -> tuple[str, pa.Table]:
+    def named(rows: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        h = hashlib.blake2b(digest_size=12)
+        h = hashlib.blake2b(digest_size=8)
         for c in t.columns:
             for b in c.chunk(0).buffers() if c.num_chunks else []:
                 h.update(b or b"")
         h.update(str(t.num_rows).encode())
-        return h.hexdigest(), t
+        return int.from_bytes(h.digest(), "little", signed=True), t
 
     held, size = [], 0
     for b in batches:
@@ -188,14 +187,15 @@ def _assembled(spark, docs, ranks, id_col, text_col, digests: bool, block_chars:
 
         findall, part = _splitter(), TaskContext.get().partitionId()
         for name, t in _blocks(batches, block_chars):
-            words = list(block_words(t.column("text").to_pylist(), findall)[0])
+            words = block_words(t.column("text").to_pylist(), findall)[0]
+            words = [(w, i) for w, i in words.items() if not _is_long(w)]
             for at in range(0, len(words), 20_000):
-                w = words[at : at + 20_000]
+                w = [x for x, _ in words[at : at + 20_000]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(w), pa.string()),
+                        pa.array([name] * len(w), pa.int64()),
                         pa.array([part >> 6] * len(w), pa.int32()),
-                        pa.array(range(at, at + len(w)), pa.int32()),
+                        pa.array([i for _, i in words[at : at + 20_000]], pa.int32()),
                         pa.array(w, pa.string()),
                     ],
                     ["block", "salt", "i", "word"],
@@ -203,15 +203,13 @@ def _assembled(spark, docs, ranks, id_col, text_col, digests: bool, block_chars:
 
     def bodies(batches):
         for name, t in _blocks(batches, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([_pack(t)], pa.binary())], ["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_pack(t)], pa.binary())], ["block", "body"])
 
-    listed = src.mapInArrow(list_words, "block string, salt int, i int, word string")
+    listed = src.mapInArrow(list_words, "block long, salt int, i int, word string")
     # the salt keeps a frequent word's list to the blocks of 64 tasks
     distinct = listed.groupBy("word", "salt").agg(F.collect_list(F.struct("block", "i")).alias("at"))
-    short = fold_merges(distinct.filter(F.octet_length("word") <= FOLD_BYTES).select("word", "at"), ranks)
-    long = distinct.filter(F.octet_length("word") > FOLD_BYTES).select("word", "at", _library(spark, ranks)("word").alias("ids"))
-    found = short.unionByName(long).select(F.explode("at").alias("a"), "ids").select("a.block", "a.i", "ids")
-    packed = src.mapInArrow(bodies, "block string, body binary")
+    found = fold_merges(distinct, ranks).select(F.explode("at").alias("a"), "ids").select("a.block", "a.i", "ids")
+    packed = src.mapInArrow(bodies, "block long, body binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
@@ -221,15 +219,14 @@ def _assembled(spark, docs, ranks, id_col, text_col, digests: bool, block_chars:
         order = right.column("i").to_numpy()
         raw = ids_col.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
         off = (ids_col.offsets.to_numpy() * 4).tolist()
-        enc: list[bytes] = [b""] * (int(order.max()) + 1 if len(order) else 0)
-        for k, i in enumerate(order.tolist()):
-            enc[i] = raw[off[k] : off[k + 1]]
+        short = {i: raw[off[k] : off[k + 1]] for k, i in enumerate(order.tolist())}
         out = {"doc_id": [], "ids": [], "decoded": []}
         for body in left.column("body").to_pylist():
             t = pa.ipc.open_stream(body).read_all()
             texts = t.column("text").to_pylist()
             words, rest, first, whole = block_words(texts, findall)
-            if len(words) != len(enc) or not all(enc):
+            enc = [_library(w, names) if _is_long(w) else short.get(i) for w, i in words.items()]
+            if None in enc:
                 raise ValueError("a block's words and its texts differ: the input changed while it was read")
             join = lambda ns: b"".join([enc[n] for n in ns])
             back = lambda b: b"".join([names[x] for x in np.frombuffer(b, "<u4").tolist()])
@@ -266,19 +263,19 @@ def _assembled(spark, docs, ranks, id_col, text_col, digests: bool, block_chars:
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 
-def _library(spark: SparkSession, ranks: dict[bytes, int]):
-    """The library's encoder as a pandas UDF, for words too long to fold."""
-    sent = spark.sparkContext.broadcast(ranks)
+def _is_long(word: str) -> bool:
+    return 4 * len(word) > FOLD_BYTES and len(word.encode()) > FOLD_BYTES
 
-    @F.pandas_udf("array<int>")
-    def ids(words: pd.Series) -> pd.Series:
-        import public_tokenizers
-        import tiktoken
 
-        e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=sent.value, special_tokens={})
-        return words.map(lambda w: [i for i in e._encode_single_piece(w)])
+def _library(word: str, names: dict[int, bytes]) -> bytes:
+    """The library's ids of a word too long to fold."""
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
 
-    return ids
+    ranks = {p: i for i, p in names.items()}
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return np.array(e.encode_ordinary(word), "<u4").tobytes()
 
 
 def decode(ids: bytes, ranks: dict[bytes, int]) -> bytes:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules
+from . import byte_bpe, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_quality_rules": quality_rules.op2,
     "op4_near_dedup": near_dedup.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_byte_bpe": byte_bpe.op6,
+    "op9_quality_classifier": quality_classifier.op9,
     "op10_packing": packing.op10,
 }
 
