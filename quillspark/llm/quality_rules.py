@@ -25,6 +25,8 @@ BUCKETS = 1 << 15
 PRIOR = 2.0
 THRESHOLD = -0.25
 ORDERS = (1,)
+#: Bound of the trusted sample, in documents (its ids are broadcast).
+MAX_TRUSTED = 50_000
 
 
 def _words(text: str) -> str:
@@ -88,6 +90,15 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _gram(h: str, n: int, buckets: int):
+    """Bucket of the n words whose hashes start at a place of column h."""
+
+    def at(x, i):
+        return F.pmod(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, n))), F.lit(buckets)).cast("int")
+
+    return at
+
+
 def _buckets(h: str, orders: tuple[int, ...], buckets: int):
     """Array of bucket numbers of the n-grams of a column of word hashes."""
     parts = []
@@ -95,41 +106,34 @@ def _buckets(h: str, orders: tuple[int, ...], buckets: int):
         if n == 1:
             parts.append(F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")))
         else:
-            parts.append(
-                F.transform(
-                    F.slice(h, F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0))),
-                    lambda x, i, n=n: F.pmod(
-                        F.xxhash64(x, *(F.get(h, i + k) for k in range(1, n))), F.lit(buckets)
-                    ).cast("int"),
-                )
-            )
+            heads = F.slice(h, F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0)))
+            parts.append(F.transform(heads, _gram(h, n, buckets)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> DataFrame:
+def bucket_counts(
+    docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED
+) -> DataFrame:
     """(b, raw, target): counts of every n-gram bucket over all documents and over the trusted ones.
 
-    ``trusted`` holds doc_id; the result has ``buckets`` rows at most. Each task adds its rows up
-    before the shuffle.
+    ``trusted`` holds doc_id, of which the ``max_trusted`` with the least hashes are the labelled
+    sample; the raw side covers every document. The result has ``buckets`` rows at most, and each
+    task adds its rows up before the shuffle.
     """
-    ids = trusted.select("doc_id").distinct().withColumn("t", F.lit(1))
-    if orders == (1,):
-        grams = docs.select("doc_id", F.explode(F.expr(_words("text"))).alias("x")).filter("x <> ''")
-        grams = grams.select("doc_id", F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int").alias("b"))
-    else:
-        h = with_words(docs).select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-        grams = h.select("doc_id", F.explode(_buckets("h", orders, buckets)).alias("b"))
-    # raw: every row; target: the rows of trusted documents, found by a join before the texts are split
-    raw = grams.groupBy("b").agg(F.count("*").alias("raw"))
-    good = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    if orders == (1,):
-        part = good.select(F.explode(F.expr(_words("text"))).alias("x")).filter("x <> ''")
-        part = part.select(F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int").alias("b"))
-    else:
-        h = with_words(good).select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-        part = h.select(F.explode(_buckets("h", orders, buckets)).alias("b"))
-    target = part.groupBy("b").agg(F.count("*").alias("target"))
-    return raw.join(target, "b", "left").select("b", "raw", F.coalesce("target", F.lit(0)).alias("target"))
+    ids = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+
+    def counted(d: DataFrame, name: str) -> DataFrame:
+        if orders == (1,):
+            grams = d.select(F.explode(F.expr(_words("text"))).alias("x")).filter("x <> ''")
+            grams = grams.select(F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int").alias("b"))
+        else:
+            h = with_words(d).select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+            grams = h.select(F.explode(_buckets("h", orders, buckets)).alias("b"))
+        return grams.groupBy("b").agg(F.count("*").alias(name))
+
+    # the ids' bound makes the broadcast safe; no text is shuffled
+    target = counted(docs.join(F.broadcast(ids), "doc_id", "left_semi"), "target")
+    return counted(docs, "raw").join(target, "b", "left").select("b", "raw", F.coalesce("target", F.lit(0)).alias("target"))
 
 
 def log_ratios(counts: list[tuple[int, int, int]], buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
