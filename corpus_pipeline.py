@@ -1,8 +1,86 @@
-"""The corpus pipeline: STAGES in order, each reading what the one before it wrote."""
+"""The corpus pipeline: STAGES in order, each reading what the one before it wrote.
 
-STAGES = []
-ORACLE_SQL = None
+quality classifier -> quality rules -> exact dedup -> SimHash near-dedup -> packing. Every stage
+takes (spark, docs, sf_dir); all but the last return the columns of documents. A row with a null
+text counts as empty; repeated rows are duplicates and one of them stays; an empty table passes
+through as an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from quillspark.llm.common import labelled, table, written
+
+#: A document stays if its probability of good quality is at least this.
+LEAST_QUALITY = 0.7
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality_classifier.fit(docs, labelled(spark, sf_dir, "quality"))
+    row = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return quality_classifier.score(spark, row, model, ["row"]).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
+
+
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    trusted = labelled(spark, sf_dir, "quality").filter("y = 1")
+    return quality_rules.judge(spark, docs, trusted).filter("kept").select("row.*")
+
+
+def _one_of_each(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, key) of ``wanted``; the longest of rows that share them.
+
+    ``key`` is an SQL expression over docs; ``wanted`` has the distinct columns wid and wkey.
+    """
+    rows = docs.withColumn("_key", F.expr(key))
+    met = rows.join(wanted, (rows["_key"] == wanted["wkey"]) & rows["doc_id"].eqNullSafe(wanted["wid"]))
+    met = met.selectExpr("*", "row_number() over (partition by wid, wkey order by length(text) desc, text) as _n")
+    return met.filter("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts."""
+    found = exact_dedup.deduplicate(spark, docs).filter("kept")
+    wanted = found.select(F.col("doc_id").alias("wid"), F.col("text_sha256").alias("wkey")).distinct()
+    t = exact_dedup.normalised(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_sha", F.sha2(t, 256))
+    return _one_of_each(keyed, "_sha", wanted).drop("_sha")
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near duplicates."""
+    found = near_dedup.near_duplicates(spark, docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = found.groupBy("root").agg(F.min(order).alias("o"))
+    wanted = first.select(F.col("o.doc_id").alias("wid"), F.col("o.th").alias("wkey")).distinct()
+    return _one_of_each(docs, "xxhash64(coalesce(text, ''))", wanted)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document's token ids in windows."""
+    return packing.pack(spark, docs)
+
+
+STAGES = [
+    ("quality_classifier", classified),
+    ("quality_rules", ruled),
+    ("exact_dedup", distinct),
+    ("near_dedup", unlike),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(spark, stage(spark, docs, sf_dir), name)
+    return docs
+
+
+#: The classifier and the packing have no counterpart in SQL.
+ORACLE_SQL = None

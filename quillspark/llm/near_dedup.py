@@ -56,14 +56,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, th, fp) of every row; th hashes the text, fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view("<i8"))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(text_col, F.lit("")).alias("text")
+    src = docs.select(F.col(id_col).alias("doc_id"), text, F.xxhash64(text).alias("th"))
+    return src.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +150,11 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id and n_links (other fingerprints linked to this one) of every row."""
+    """doc_id, fingerprint, component_id, n_links, root and th of every row.
+
+    n_links counts the other fingerprints linked to this one; root names the component even if its
+    ids are null; th is the text's hash.
+    """
     rows = written(spark, fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = written(spark, links(fps), "links")
@@ -157,16 +163,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     named = roots.withColumnRenamed("node", "fp").join(fps, "fp")
     named = written(spark, named, "members")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").join(degree, "fp").select("fp", "component_id", "n_links")
+    named = named.join(least, "root").join(degree, "fp").select("fp", "component_id", "n_links", "root")
     classes = fps.join(named, "fp", "left").select(
         "fp",
         F.when(F.col("n_links").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("root", "fp").alias("root"),
     )
     return rows.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", "root", "th"
     )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("root", "th")

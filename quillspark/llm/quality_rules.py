@@ -35,23 +35,30 @@ def _words(text: str) -> str:
     return s
 
 
+def _quoted(name: str):
+    return F.col(f"`{name}`")
+
+
 def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, w): the words of every whole text."""
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    """(id, text, row, w): the words of every whole text; row is the input's row, for who wants it."""
+    parts = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.struct(*map(_quoted, docs.columns)).alias("row")
+    )
     parts = parts.withColumn("p", F.expr(_words("text")))
     head = F.when(F.get("p", F.lit(0)) == "", 1).otherwise(0)
     tail = F.when((F.size("p") > 1) & (F.element_at("p", -1) == ""), 1).otherwise(0)
-    return parts.select("doc_id", "text", F.slice("p", head + 1, F.size("p") - head - tail).alias("w"))
+    return parts.select("doc_id", "text", "row", F.slice("p", head + 1, F.size("p") - head - tail).alias("w"))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (the words' hashes) and the counts of the base rules for every row.
+    """doc_id, the counts of the base rules, h (the words' hashes) and row, for every row.
 
     Windows of three words are compared by chained 64-bit hashes inside one document.
     """
     w = with_words(docs, id_col, text_col)
     h = w.select(
         "doc_id",
+        "row",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -87,6 +94,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("r").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
         "h",
+        "row",
     )
 
 
@@ -156,20 +164,22 @@ def judge(
     buckets: int = BUCKETS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Base counts, llr score and verdict of every row of ``docs`` (doc_id, text)."""
+    """Base counts, verdict, llr score and row (the input's) of every row of ``docs`` (doc_id, text)."""
     # bounded by ``buckets``, whatever the corpus: a literal array of as many doubles
     counts = [tuple(r) for r in bucket_counts(docs, trusted, orders, buckets).collect()]
     ratios = F.from_json(F.lit(json.dumps(log_ratios(counts, buckets))), "array<double>")
     d = base_counts(docs).withColumn("ng", _buckets("h", orders, buckets))
     total = F.aggregate("ng", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
-    d = d.withColumn("llr", F.round(F.when(F.size("ng") > 0, total / F.size("ng")).otherwise(0.0), 9))
+    llr = F.round(F.when(F.size("ng") > 0, total / F.size("ng")).otherwise(0.0), 9)
+    # The row number is a barrier: a filter on the result must not be pushed below here, where it
+    # would repeat the nested array expressions once for each use.
+    llr = F.when(F.monotonically_increasing_id() >= 0, llr)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    d = d.select(*names, llr.alias("llr"), "row")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr",
-    )
+    return d.select(*names, failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr", "row")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judge(spark, docs, labelled(spark, sf_dir, "quality").filter("y = 1"))
+    return judge(spark, docs, labelled(spark, sf_dir, "quality").filter("y = 1")).drop("row")
