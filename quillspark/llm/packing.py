@@ -17,6 +17,7 @@ string inside a text is ordinary text.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -30,60 +31,63 @@ from .common import env_path, table, written
 
 CAPACITY = 2048
 END_ID = 1
-#: Remembered parts of a task's texts, so that its memory stays bounded.
-CACHE = 400_000
+#: Cut pieces up to this number are broadcast to find their documents; more are joined by a shuffle.
+FEW = 10_000
 #: Rows ranked together; larger groups are split by a hash.
 RANKED = 100_000
 
 
-class Encoder:
-    """Whole texts to little-endian 32-bit ids, remembering what was encoded before.
+def byte_ranks(definition: str) -> dict[bytes, int] | None:
+    """A tokenizer's vocabulary as ranks of byte strings, if its merges come in the order of their ids.
 
-    A single space between characters that are not white space always starts a pre-token, so the
-    parts between such spaces are encoded apart and remembered; a text with other runs of white
-    space is encoded as it stands.
+    Merging by the ids' order is then what the definition says, and the faster of two public
+    libraries does it; None for any other definition.
     """
+    d = json.loads(definition)
+    m, pre = d["model"], d.get("pre_tokenizer") or {}
+    plain = m.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or d.get("normalizer") or m.get("dropout") or m.get("ignore_merges"):
+        return None
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    other = [x for x in range(256) if x not in kept]
+    byte = {chr(x): x for x in kept} | {chr(256 + i): x for i, x in enumerate(other)}
+    special = {t["content"] for t in d.get("added_tokens", [])}
+    ids = {t: i for t, i in m["vocab"].items() if t not in special}
+    pairs = [tuple(p) if isinstance(p, list) else tuple(p.split(" ")) for p in m["merges"]]
+    merged = [ids.get("".join(p)) for p in pairs]
+    if None in merged or merged != sorted(set(merged)) or len(ids) != 256 + len(merged):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in ids.items()}
+
 
-    def __init__(self, definition: str, limit: int = CACHE):
-        from tokenizers import Tokenizer
+class Encoder:
+    """Whole texts to little-endian 32-bit ids, as the definition's tokenizer gives them without special tokens."""
 
-        self.t = Tokenizer.from_str(definition)
-        self.t.encode_special_tokens = True
-        self.limit, self.known = limit, {}
+    def __init__(self, definition: str, ranks: dict[bytes, int] | None):
+        self.text = self.t = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+            self.text = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.t = Tokenizer.from_str(definition)
+            self.t.encode_special_tokens = True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, heads, new = self.known, {}, {}
-        for t in texts:
-            parts = t.split(" ")
-            heads[parts[0]] = b""
-            new.update(dict.fromkeys(parts[1:]))
-        for k in [k for k in new if k in known]:
-            del new[k]
-        odd = [k for k in new if not k or k[0].isspace() or k[-1].isspace()]
-        for k in odd:
-            del new[k]
-        order = list(new)
-        known.update(zip(order, self._ids([" " + k for k in order]), strict=True))
-        first = [k for k in heads if not k or not k[-1].isspace()]
-        heads = dict(zip(first, self._ids(first), strict=True))
-        out: list[bytes] = []
-        for t in texts:
-            parts = t.split(" ")
-            try:
-                out.append(heads[parts[0]] + b"".join([known[p] for p in parts[1:]]))
-            except KeyError:
-                out.append(self._ids([t])[0])
-        return out
-
-
-def _definition(path: str | None) -> str:
+        if self.text:
+            return [np.array(self.text.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _vocabulary(spark: SparkSession, path: str | None):
+    """The definition and its ranks, sent to every executor: of a fixed size."""
     with open(path or env_path("byte_bpe_50k.json", "QUILLSPARK_BPE_JSON"), encoding="utf-8") as f:
-        return f.read()
+        definition = f.read()
+    ranks = byte_ranks(definition)
+    return spark.sparkContext.broadcast(("" if ranks else definition, ranks))
 
 
 def _groups(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -101,13 +105,13 @@ def _groups(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[
 
 def pieces(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """(uid, doc_id, th, start, length, crc, doc_tokens): full windows and the remainder of every row."""
-    sent = spark.sparkContext.broadcast(_definition(path))  # the vocabulary, of a fixed size
+    sent = _vocabulary(spark, path)
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, uid = Encoder(sent.value), TaskContext.get().partitionId() << 40
+        encoder, uid = Encoder(*sent.value), TaskContext.get().partitionId() << 40
         for b in batches:
             ids, hashes = b.column(0).to_pylist(), b.column(2).to_pylist()
             for at, texts in _groups(b, 1):
@@ -280,14 +284,16 @@ def _checksums(spark, docs, cut, end_id, path) -> DataFrame:
     want = cut.select("doc_id", "th", F.struct("start", "length").alias("s")).distinct()
     # bounded by the pieces of one document
     want = want.groupBy("doc_id", "th").agg(F.collect_list("s").alias("cuts")).toDF("wid", "wth", "cuts")
+    if cut.count() <= FEW:
+        want = F.broadcast(want)
     src = _source(docs)
     again = src.join(want, (src["th"] == want["wth"]) & src["doc_id"].eqNullSafe(want["wid"]))
     again = again.groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("cuts").alias("cuts"))
-    sent = spark.sparkContext.broadcast(_definition(path))
+    sent = _vocabulary(spark, path)
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = Encoder(*sent.value)
         for b in batches:
             ids, hashes, cuts = (b.column(i).to_pylist() for i in (0, 1, 3))
             for at, texts in _groups(b, 2):
