@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import env_path, table
 
 #: Characters of text in a block; one longer document is a block of its own.
-BLOCK_CHARS = 28_000_000
+BLOCK_CHARS = 40_000_000
+#: A word's place: its block's number above this many bits, its number in the block below.
+PLACE = 24
 FOLD_BYTES = 160
 #: Buckets of the literal map, so that a lookup reads few entries.
 BUCKETS = 1 << 13
@@ -118,12 +120,20 @@ def block_words(texts: list[str], findall) -> tuple[dict[str, int], dict, dict,
     def numbers(s: str) -> list[int]:
         return [words.setdefault(w, len(words)) for w in findall(s)]
 
+    def after_space(k: str) -> list[int]:
+        # letters are one word, and a mark after them another
+        if k.isalpha():
+            return [words.setdefault(" " + k, len(words))]
+        if k[-1] in ".,;:!?" and k[:-1].isalpha():
+            return [words.setdefault(" " + k[:-1], len(words)), words.setdefault(k[-1], len(words))]
+        return numbers(" " + k)
+
     bad = set()
     for k in rest:
         if not k or k[0].isspace() or k[-1].isspace():
             bad.add(k)
         else:
-            rest[k] = numbers(" " + k)
+            rest[k] = after_space(k)
     for k in first:
         if k and k[-1].isspace():
             first[k] = None
@@ -138,37 +148,32 @@ def block_words(texts: list[str], findall) -> tuple[dict[str, int], dict, dict,
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
-    """Documents in blocks of about ``limit`` characters, named by their contents."""
+    """Documents in blocks of about ``limit`` characters, numbered by task and order.
 
-    def named(rows: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        h = hashlib.blake2b(digest_size=8)
-        for c in t.columns:
-            for b in c.chunk(0).buffers() if c.num_chunks else []:
-                h.update(b or b"")
-        h.update(str(t.num_rows).encode())
-        return int.from_bytes(h.digest(), "little", signed=True), t
+    Two scans of the same input in one plan number alike; :func:`_assembled` checks every word.
+    """
+    from pyspark import TaskContext
 
+    number = TaskContext.get().partitionId() << 12
     held, size = [], 0
     for b in batches:
         at = 0
-        lengths = pa.compute.utf8_length(b.column(1)).to_pylist()
-        for i, n in enumerate(lengths):
+        for i, n in enumerate(pa.compute.utf8_length(b.column(1)).to_pylist()):
             if size and size + n > limit:
                 if i > at:
                     held.append(b.slice(at, i - at))
-                yield named(held)
-                held, size, at = [], 0, i
+                yield number, pa.Table.from_batches(held)
+                held, size, at, number = [], 0, i, number + 1
             size += n
         if at < b.num_rows:
             held.append(b.slice(at))
     if held:
-        yield named(held)
+        yield number, pa.Table.from_batches(held)
 
 
 def _pack(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -183,64 +188,60 @@ def _assembled(spark, docs, ranks, id_col, text_col, digests: bool, block_chars:
     pieces = spark.sparkContext.broadcast({i: p for p, i in ranks.items()})  # bounded by the vocabulary
 
     def list_words(batches):
-        from pyspark import TaskContext
-
-        findall, part = _splitter(), TaskContext.get().partitionId()
-        for name, t in _blocks(batches, block_chars):
+        findall = _splitter()
+        for number, t in _blocks(batches, block_chars):
             words = block_words(t.column("text").to_pylist(), findall)[0]
-            words = [(w, i) for w, i in words.items() if not _is_long(w)]
+            words = [(w, number << PLACE | i) for w, i in words.items() if not _is_long(w)]
             for at in range(0, len(words), 20_000):
-                w = [x for x, _ in words[at : at + 20_000]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(w), pa.int64()),
-                        pa.array([part >> 6] * len(w), pa.int32()),
-                        pa.array([i for _, i in words[at : at + 20_000]], pa.int32()),
-                        pa.array(w, pa.string()),
-                    ],
-                    ["block", "salt", "i", "word"],
-                )
+                w, places = zip(*words[at : at + 20_000], strict=True)
+                salt = pa.array([number >> 18] * len(w), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), salt, pa.array(places, pa.int64())], ["word", "salt", "place"])
 
     def bodies(batches):
-        for name, t in _blocks(batches, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_pack(t)], pa.binary())], ["block", "body"])
+        for number, t in _blocks(batches, block_chars):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(t)], pa.binary())], ["block", "body"])
 
-    listed = src.mapInArrow(list_words, "block long, salt int, i int, word string")
+    listed = src.mapInArrow(list_words, "word string, salt int, place long")
     # the salt keeps a frequent word's list to the blocks of 64 tasks
-    distinct = listed.groupBy("word", "salt").agg(F.collect_list(F.struct("block", "i")).alias("at"))
-    found = fold_merges(distinct, ranks).select(F.explode("at").alias("a"), "ids").select("a.block", "a.i", "ids")
+    distinct = listed.groupBy("word", "salt").agg(F.collect_list("place").alias("at"))
+    size = 2 if max(ranks.values(), default=0) < 1 << 16 else 4
+    code = F.expr(f"unhex(array_join(transform(ids, x -> lpad(hex(x), {2 * size}, '0')), ''))").alias("code")
+    found = fold_merges(distinct, ranks).select(F.explode("at").alias("place"), code)
+    # a task's words for one block travel as one row
+    found = found.select(F.shiftright("place", PLACE).alias("block"), F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("i"), "code")
+    found = found.groupBy("block", F.pmod("i", F.lit(8)).alias("part")).agg(F.collect_list("i").alias("i"), F.collect_list("code").alias("code"))
     packed = src.mapInArrow(bodies, "block long, body binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
-        findall, names = _splitter(), pieces.value
-        ids_col = right.column("ids").combine_chunks()
-        order = right.column("i").to_numpy()
-        raw = ids_col.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        off = (ids_col.offsets.to_numpy() * 4).tolist()
-        short = {i: raw[off[k] : off[k + 1]] for k, i in enumerate(order.tolist())}
+        findall, names, kind = _splitter(), pieces.value, f">u{size}"
+        short: dict[int, bytes] = {}
+        for places, codes in zip(right.column("i").to_pylist(), right.column("code").to_pylist(), strict=True):
+            short.update(zip(places, codes, strict=True))
         out = {"doc_id": [], "ids": [], "decoded": []}
         for body in left.column("body").to_pylist():
             t = pa.ipc.open_stream(body).read_all()
             texts = t.column("text").to_pylist()
             words, rest, first, whole = block_words(texts, findall)
-            enc = [_library(w, names) if _is_long(w) else short.get(i) for w, i in words.items()]
-            if None in enc:
+            codes = [_library(w, names, kind) if _is_long(w) else short.get(i, b"") for w, i in words.items()]
+            ids_all = np.frombuffer(b"".join(codes), kind)
+            raw, ends = ids_all.astype("<u4").tobytes(), np.cumsum([len(c) // size for c in codes]).tolist()
+            enc = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+            piece = [names[x] for x in ids_all.tolist()]
+            dec = [b"".join(piece[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+            if b"".join(dec) != "".join(words).encode() or any(len(d) != len(w.encode()) for d, w in zip(dec, words, strict=True)):
                 raise ValueError("a block's words and its texts differ: the input changed while it was read")
-            join = lambda ns: b"".join([enc[n] for n in ns])
-            back = lambda b: b"".join([names[x] for x in np.frombuffer(b, "<u4").tolist()])
-            rest_b = {k: join(v) for k, v in rest.items() if v is not None}
-            rest_d = {k: back(v) for k, v in rest_b.items()}
+            rest_b = {k: b"".join([enc[n] for n in v]) for k, v in rest.items() if v is not None}
+            rest_d = {k: b"".join([dec[n] for n in v]) for k, v in rest.items() if v is not None}
             for doc, text, w in zip(t.column("doc_id").to_pylist(), texts, whole, strict=True):
-                if w is not None:
-                    ids = join(w)
-                    plain = back(ids)
+                if w is None:
+                    head, *parts = text.split(" ")
+                    w = first[head]
                 else:
-                    parts = text.split(" ")
-                    head = join(first[parts[0]])
-                    ids = head + b"".join([rest_b[p] for p in parts[1:]])
-                    plain = back(head) + b"".join([rest_d[p] for p in parts[1:]])
+                    parts = []
+                ids = b"".join([enc[n] for n in w] + [rest_b[p] for p in parts])
+                plain = b"".join([dec[n] for n in w] + [rest_d[p] for p in parts])
                 out["doc_id"].append(doc)
                 if digests:
                     out["ids"].append((len(ids) // 4, hashlib.sha256(ids).hexdigest()))
@@ -267,7 +268,7 @@ def _is_long(word: str) -> bool:
     return 4 * len(word) > FOLD_BYTES and len(word.encode()) > FOLD_BYTES
 
 
-def _library(word: str, names: dict[int, bytes]) -> bytes:
+def _library(word: str, names: dict[int, bytes], kind: str) -> bytes:
     """The library's ids of a word too long to fold."""
     import numpy as np
     import public_tokenizers
@@ -275,7 +276,7 @@ def _library(word: str, names: dict[int, bytes]) -> bytes:
 
     ranks = {p: i for i, p in names.items()}
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return np.array(e.encode_ordinary(word), "<u4").tobytes()
+    return np.array(e.encode_ordinary(word), kind).tobytes()
 
 
 def decode(ids: bytes, ranks: dict[bytes, int]) -> bytes:
