@@ -89,7 +89,8 @@ def compare(c: Column, t: T.DataType, op: str, value: str) -> Column:
     n = literal_number(value) if value != "" else None
     if is_numeric_type(t) and n is not None:
         plain = F.lit(int(n)) if float(n).is_integer() and abs(n) < 2**53 else F.lit(n)
-        return F.coalesce(ops[op](c, plain), ops[op](F.lit(""), F.lit(value.lower())))
+        # a null is the empty text, which is less than any other; both forms reach the scan
+        return ops[op](c, plain) | c.isNull() if op in ("<", "<=", "!=") else ops[op](c, plain)
     as_text = ops[op](F.lower(text(c)), F.lit(value.lower()))
     if n is None:
         return as_text
