@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, text
-from .operators import chunks, gate, governance, lines, masking, readable
+from .operators import chunks, exchange, gate, governance, lines, masking, readable
 from .plans.engine import Engine
 from .sources import csv_source
 
@@ -335,3 +335,44 @@ def _(spark, d):
 @query("job_status", "select user_id as job_id, arg_max(event_type, (ts, event_type)) as status, max(ts) as at from events group by user_id")
 def _(spark, d):
     return governance.job_status(_t(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_type").alias("status")))
+
+
+@query("settings_redacted", "select user_id, case when event_type = 'click' then '[REDACTED]' else 'plain' end as token, 'http://h/?token=[REDACTED]&x=1' as url from events")
+def _(spark, d):
+    secret = F.when(F.col("event_type") == "click", "api_key").otherwise("name")
+    m = F.create_map(secret, F.lit("plain"), F.lit("url"), F.lit("http://h/?token=abc&x=1"))
+    r = _t(spark, d, "events").select("user_id", exchange.redacted(m).alias("m"))
+    return r.select("user_id", F.coalesce(F.col("m")["api_key"], F.col("m")["name"]).alias("token"), F.col("m")["url"].alias("url"))
+
+
+@query("front_matter_field", "select doc_id, '\"' || lang || '\"' as lang from documents")
+def _(spark, d):
+    t = F.concat(F.lit('---\ntitle: "x"\nlang: "'), F.col("lang"), F.lit('"\n---\n'), F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", exchange.front_matter_field(t, "lang").alias("lang"))
+
+
+@query("provider_text", "select conv_id, turn, text from conversations")
+def _(spark, d):
+    shapes = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))))
+    body = shapes.otherwise(F.to_json(F.struct(F.lit("").alias("output_text"), F.array(F.struct("text")).alias("content"))))
+    return _t(spark, d, "conversations").select("conv_id", "turn", exchange.provider_text(body).alias("text"))
+
+
+@query("sample_summary", "select lang, count(*) as n from documents group by lang")
+def _(spark, d):
+    return exchange.summary(_t(spark, d, "documents"), "lang")
+
+
+@query("profile_upsert", "select c_custkey as id, case when c_custkey % 3 = 0 then 'new' else c_name end as name from customer")
+def _(spark, d):
+    t = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return exchange.upserted(t, t.filter("id % 3 = 0").withColumn("name", F.lit("new")))
+
+
+@query("refresh_delta", "select doc_id, 0::bigint as headings_delta, 0::bigint as tables_delta, 2::bigint as chars_delta, true as changed from documents")
+def _(spark, d):
+    def state(t):
+        return t.select("doc_id", text.readable_stats("text")["headings"].alias("headings"), text.table_count("text").alias("tables"), F.length("text").cast("long").alias("chars"))
+
+    a = _t(spark, d, "documents")
+    return exchange.refresh_delta(state(a), state(a.withColumn("text", F.concat("text", F.lit(" x")))))

@@ -168,3 +168,21 @@ def test_office(spark, tmp_path):
     out = {x["path"].rpartition("/")[2]: x for x in office.read_documents(spark, str(tmp_path)).collect()}
     assert out["d.docx"]["markdown"] == "## Head\n\nBody\n\n| a\\|b |\n| --- |\n" and out["t.txt"]["markdown"] == "中文内容测试"
     assert out["bad.docx"]["state"] != "ok" and out["b.xlsx"]["state"] == "ok"
+
+
+def test_exchange(spark):
+    from quillspark.operators import exchange
+
+    fields = {"title": "a: b", "tags": ["x", "é"], "n": 3}
+    doc = exchange.exchange_markdown(fields, "Body", {"Query result": "| a |", "Audit": ""})
+    back, rest = exchange.parse_front_matter(doc)
+    assert back == fields and rest.strip() == "Body\n\n## Query result\n\n| a |"
+    assert exchange.settings_row({"default_query_limit": "20", "mask_before_send": "true"}) == {"default_query_limit": 20, "mask_before_send": True}
+    for bad in ({"x": 1}, {"policy_mode": "none"}, {"preview_rows": 0}):
+        with pytest.raises(ValueError):
+            exchange.settings_row(bad)
+    p = spark.createDataFrame([("a/.env",), ("b/key.pem",), ("c/notes.md",)], "path string")
+    assert [r[0] for r in p.select(exchange.sensitive_path(F.col("path"))).collect()] == [True, True, False]
+    rows = spark.createDataFrame([(1, ["b", "zz", "a"]), (2, [])], "id long, codes array<string>")
+    limits = spark.createDataFrame([("a", "do a"), ("b", "do b")], "code string, action string")
+    assert {r["id"]: r["actions"] for r in exchange.with_limits(rows, limits).collect()} == {1: ["do b", "do a"], 2: []}
