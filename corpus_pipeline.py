@@ -21,8 +21,11 @@ LEAST_QUALITY = 0.7
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_classifier.fit(docs, labelled(spark, sf_dir, "quality"))
-    row = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return quality_classifier.score(spark, row, model, ["row"]).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    scored = quality_classifier.score(spark, docs, model, name=name)
+    return scored.filter(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

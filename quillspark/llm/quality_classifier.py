@@ -177,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"vectors": vectors, "net": fit_network(x, np.array([v for _, v in sample]))}
 
 
-def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` (or those in ``keep``) and ``score``, the probability of good quality."""
+def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of ``docs`` (or those in ``keep``) and ``name``, the probability of good quality."""
     sent = spark.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +189,8 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str] | N
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in held), pa.array(p, pa.float64())], names)
 
     keep = docs.columns if keep is None else keep
-    at, held, names = docs.columns.index("text"), [docs.columns.index(c) for c in keep], [*keep, "score"]
-    return docs.mapInArrow(run, docs.select(*keep, F.lit(0.0).alias("score")).schema)
+    at, held, names = docs.columns.index("text"), [docs.columns.index(c) for c in keep], [*keep, name]
+    return docs.mapInArrow(run, docs.select(*keep, F.lit(0.0).alias(name)).schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
