@@ -16,6 +16,8 @@ from quillspark.llm.common import labelled, table, written
 
 #: A document stays if its probability of good quality is at least this.
 LEAST_QUALITY = 0.7
+#: Texts whose sets of five-word shingles are this similar (Jaccard) are near duplicates.
+SIMILARITY = 0.8
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +57,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near duplicates."""
-    found = near_dedup.near_duplicates(spark, docs)
+    """One document, that of the smallest id, of each component of near duplicates.
+
+    Near duplicates are texts within three bits of SimHash, or of SIMILARITY or more.
+    """
+    found = near_dedup.near_duplicates(spark, docs, similarity=SIMILARITY)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = found.groupBy("root").agg(F.min(order).alias("o"))
     wanted = first.select(F.col("o.doc_id").alias("wid"), F.col("o.th").alias("wkey")).distinct()

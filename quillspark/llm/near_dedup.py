@@ -11,6 +11,12 @@ equal and another off by one at most (six kinds of key: an exact segment with an
 or one bit wrong in each (one kind: two codewords and the three flipped parities). Pairs that meet
 are verified on all 64 bits; components of the links follow.
 
+Where a ``similarity`` is asked for (the pipeline's stage), texts whose sets of five-word shingles reach
+that Jaccard similarity are linked too. Candidates share a key of BANDS bands of ROWS MinHash values
+(a pair at 0.8 shares none with a chance of 3 in a million; more similar pairs, less), and every link
+is checked on the whole sets. Each key's texts meet its smallest one first; then only texts that the
+links so far leave in different components meet, so a large group of near copies costs no square.
+
 Defined cases: a null or empty text has fingerprint zero, linked like any other; equal fingerprints
 are one class, whatever the number of rows; a null id is no component's smallest (a component of
 null ids only has a null id); repeated rows are kept; an empty table gives an empty result.
@@ -33,6 +39,10 @@ from .components import connected
 GENERATOR = 0xAE3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 DISTANCE = 3
+#: MinHash keys of the similarity links.
+BANDS, ROWS = 32, 5
+#: Slots of the bitmap of candidate texts, whatever the input.
+SLOTS = 1 << 22
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -149,15 +159,121 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingles(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of hashes of a text's shingles of lower-cased words, sorted; a shorter text is one shingle."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if len(w) < shingle:
+        each, count = [b" ".join(w)], 1
+    else:
+        each, count = map(b" ".join, zip(*(w[i:] for i in range(shingle)))), len(w) - shingle + 1  # noqa: B905
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, each, repeat(seed)), dtype="<u8", count=count))
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key (a signed long) of each band of the MinHash values of a set of hashes."""
+    import xxhash
+
+    rng = np.random.default_rng(5)
+    flip, times = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 512):
+        np.minimum(least, ((h[at : at + 512, None] ^ flip) * (times | np.uint64(1))).min(0), out=least)
+    each = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(each, np.uint64).view(np.int64).tolist()
+
+
+def _keyed_texts(docs: DataFrame, shingle: int) -> DataFrame:
+    """(th, n, keys) of every row of (text, th): the size of its set and its bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column(0).to_pylist()]
+            n, made = pa.array(map(len, sets), pa.int32()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(1), n, made], ["th", "n", "keys"])
+
+    return docs.mapInArrow(run, "th long, n int, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame:
+    """(th, s): the sets of the rows of (text, th) whose slot ``wanted`` (a packed bitmap) marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) & (SLOTS - 1)
+            b = b.filter(pa.array((wanted[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [shingles(t, shingle).view(np.int64) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["th", "s"])
+
+    return docs.mapInArrow(run, "th long, s array<long>")
+
+
+def similar(spark: SparkSession, docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
+    """(a, b), a < b: fingerprints with texts of ``similarity`` or more, as far as ``edges`` leave them apart.
+
+    ``docs`` has text (not null) and th, ``rows`` th and fp. Links between fingerprints that are
+    connected without them are left out.
+    """
+    texts = _keyed_texts(docs, shingle).groupBy("th").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    fps = rows.groupBy("th").agg(F.first("fp").alias("fp"))
+    texts = written(spark, texts.join(fps, "th"), "texts")
+    flat = texts.select(F.explode("keys").alias("key"), "th")
+    heads = flat.groupBy("key").agg(F.min("th").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    met = written(spark, flat.join(heads, "key"), "buckets")
+
+    slots = met.select(F.col("th").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
+    marks = np.zeros(SLOTS, bool)
+    marks[slots.column("slot").to_numpy()] = True
+    sets = _sets(docs, np.packbits(marks, bitorder="little"), shingle).groupBy("th").agg(F.first("s").alias("s"))
+    sets = written(spark, sets, "sets")
+    named = texts.select("th", "n", "fp")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(named.toDF(x, f"n{x}", f"f{x}"), x)
+        pairs = pairs.filter((F.col("fa") != F.col("fb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-9))
+        pairs = written(spark, pairs, "pairs")
+        for x in "ab":
+            pairs = pairs.join(sets.toDF(x, f"s{x}"), x)
+        pairs = pairs.withColumn("c", F.size(F.array_intersect("sa", "sb")))
+        found = pairs.filter(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * F.lit(similarity) - 1e-9)
+        return written(spark, found.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct(), "similar")
+
+    first = written(spark, met.filter("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b")).distinct(), "stars")
+    one = linked(first)
+    # texts of one key that are still in different components meet each other
+    roots = connected(spark, edges.union(one)).toDF("fp", "root")
+    member = met.select("key", "th").join(named.select("th", "fp"), "th").join(roots, "fp", "left")
+    member = written(spark, member.select("key", "th", F.coalesce("root", "fp").alias("root")), "parted")
+    most = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+    most = most.agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+    rest = member.join(most.select("key", F.col("m.root").alias("major")), "key")
+    few = rest.filter("root <> major").select("key", F.col("th").alias("x"), F.col("root").alias("rx"))
+    pairs = few.join(rest.select("key", F.col("th").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return one.union(linked(pairs.join(first, ["a", "b"], "left_anti"))).distinct()
+
+
+def near_duplicates(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None
+) -> DataFrame:
     """doc_id, fingerprint, component_id, n_links, root and th of every row.
 
+    With ``similarity``, components also follow the links of ``similar``; n_links counts those as well.
+
     n_links counts the other fingerprints linked to this one; root names the component even if its
     ids are null; th is the text's hash.
     """
     rows = written(spark, fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = written(spark, links(fps), "links")
+    if similarity is not None:
+        text = F.coalesce(text_col, F.lit("")).alias("text")
+        more = similar(spark, docs.select(text, F.xxhash64(text).alias("th")), rows, edges, similarity)
+        edges = written(spark, edges.union(more).distinct(), "links")
     roots = connected(spark, edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     named = roots.withColumnRenamed("node", "fp").join(fps, "fp")
