@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ BUCKETS = 1 << 15
 PRIOR = 2.0
 THRESHOLD = -0.25
 ORDERS = (1,)
-#: Bound of the trusted sample, in documents (its ids are broadcast).
-MAX_TRUSTED = 50_000
+#: Trusted ids that one pass broadcasts; more of them take more passes, none is left out.
+BLOCK_IDS = 1_000_000
 
 
 def _words(text: str) -> str:
@@ -120,15 +121,16 @@ def _buckets(h: str, orders: tuple[int, ...], buckets: int):
 
 
 def bucket_counts(
-    docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED
+    docs: DataFrame, trusted: DataFrame, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, block_ids: int = BLOCK_IDS
 ) -> DataFrame:
     """(b, raw, target): counts of every n-gram bucket over all documents and over the trusted ones.
 
-    ``trusted`` holds doc_id, of which the ``max_trusted`` with the least hashes are the labelled
-    sample; the raw side covers every document. The result has ``buckets`` rows at most, and each
-    task adds its rows up before the shuffle.
+    ``trusted`` holds doc_id; both sides cover every document. The trusted ids are dealt by hash
+    into blocks of about ``block_ids``, each counted in a pass of its own. The result has
+    ``buckets`` rows at most, and each task adds its rows up before the shuffle.
     """
-    ids = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
+    blocks = max(1, math.ceil(ids.count() / block_ids))
 
     def counted(d: DataFrame, name: str) -> DataFrame:
         if orders == (1,):
@@ -139,8 +141,11 @@ def bucket_counts(
             grams = h.select(F.explode(_buckets("h", orders, buckets)).alias("b"))
         return grams.groupBy("b").agg(F.count("*").alias(name))
 
-    # the ids' bound makes the broadcast safe; no text is shuffled
-    target = counted(docs.join(F.broadcast(ids), "doc_id", "left_semi"), "target")
+    # the blocks' bound makes each broadcast safe; no text is shuffled
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    parts = [docs.join(F.broadcast(ids.filter(block == k)), "doc_id", "left_semi") for k in range(blocks)]
+    target = reduce(DataFrame.unionAll, (counted(part, "target") for part in parts))
+    target = target.groupBy("b").agg(F.sum("target").alias("target")) if blocks > 1 else target
     return counted(docs, "raw").join(target, "b", "left").select("b", "raw", F.coalesce("target", F.lit(0)).alias("target"))
 
 
