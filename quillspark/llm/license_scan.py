@@ -12,6 +12,11 @@ its distinct words. The join follows from the usual filters, none of which loses
 
 Word frequencies are counted over all documents.
 
+With ``wrapped`` (the query's form), notices that run across line ends are found too: a span of as
+many consecutive words as the template has, divided by ``share`` (room for words between), must hold
+``need`` of its distinct words. Any such span holds a word of the prefix, so the words around each
+of these are compared, with every place of the span in them. A label found only so counts as one block.
+
 Defined cases: null counts as empty (no words, no labels, score 0); null ids and repeated rows are
 kept; wholly equal rows get equal results; an empty table gives an empty result; extra columns are
 ignored.
@@ -94,6 +99,31 @@ def matches(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: fl
     return met.filter("common >= need").select("doc_id", "th", "line", "label", (F.col("common") / F.col("size")).alias("containment"))
 
 
+def spans(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+    """(doc_id, th, label, containment): every template that spans of a document reach, across line ends."""
+    rows = template_rows(frequencies(docs, templates), templates, share)
+    length = {label: math.ceil(len(text.split()) / share - 1e-9) for label, text in templates}
+    longest = max(length.values())
+    prefix = [(w, label, length[label], size, need, words) for label, words, size, need, k in rows for w in words[:k]]
+    index = spark.createDataFrame(prefix, "w string, label string, len int, size int, need int, words array<string>")
+    rare = F.array(*(F.lit(w) for w in sorted({p[0] for p in prefix})))
+    near = docs.filter(F.arrays_overlap(_split(F.lower("text")), rare))
+    words = F.filter(_split(F.translate("text", UPPER, LOWER)), lambda x: x != "")
+    near = near.select("doc_id", F.xxhash64("text").alias("th"), words.alias("all"))
+    places = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda a: F.array_contains(rare, a["w"]))
+
+    def around(a):
+        start = F.greatest(a["i"] - (longest - 1), F.lit(0))
+        return F.struct(a["w"].alias("w"), F.slice("all", start + 1, a["i"] - start + longest).alias("around"))
+
+    near = near.select("doc_id", "th", F.explode(F.transform(places, around)).alias("a")).select("doc_id", "th", "a.*")
+    met = near.join(F.broadcast(index), "w").filter(F.size(F.array_intersect("words", "around")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("around") - F.col("len") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect("words", F.slice("around", k, F.col("len"))))))
+    met = met.withColumn("common", best).filter("common >= need")
+    return met.groupBy("doc_id", "th", "label").agg(F.max(F.col("common") / F.col("size")).alias("containment"))
+
+
 def _stands(parts: list[str]):
     """Whether a phrase's words stand in column w from a place on."""
 
@@ -106,8 +136,13 @@ def _stands(parts: list[str]):
     return here
 
 
-def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, phrases=PHRASES) -> DataFrame:
-    """Phrase counts and places, labels and score of every row of (doc_id, text)."""
+def scan(
+    spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, phrases=PHRASES, wrapped: bool = False
+) -> DataFrame:
+    """Phrase counts and places, labels and score of every row of (doc_id, text).
+
+    Templates are sought in lines, and across line ends if ``wrapped``.
+    """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), _split("text").alias("p"))
     head = F.when(F.get("p", F.lit(0)) == "", 1).otherwise(0)
@@ -128,8 +163,12 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float
     every = F.concat(*(F.col(f"at{i}") for i in range(len(found))))
     base = F.array_compact(F.array(*(F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(found))))
     d = d.select("doc_id", "th", "n_words", every.alias("at"), F.sort_array(F.array_distinct(base)).alias("base"))
-    own = matches(spark, docs, templates, share).groupBy("doc_id", "th").agg(
-        F.collect_set("label").alias("own"), F.max("containment").alias("best"), F.count("*").alias("n_blocks")
+    own = matches(spark, docs, templates, share).select("doc_id", "th", "label", "containment", F.lit(1).alias("block"))
+    if wrapped:
+        own = own.union(spans(spark, docs, templates, share).withColumn("block", F.lit(0)))
+    own = own.groupBy("doc_id", "th", "label").agg(F.max("containment").alias("containment"), F.greatest(F.sum("block"), F.lit(1)).alias("blocks"))
+    own = own.groupBy("doc_id", "th").agg(
+        F.collect_set("label").alias("own"), F.max("containment").alias("best"), F.sum("blocks").alias("n_blocks")
     )
     own = own.toDF("oid", "oth", "own", "best", "n_blocks")
     j = d.join(own, (d["th"] == own["oth"]) & d["doc_id"].eqNullSafe(own["oid"]), "left")
@@ -148,4 +187,4 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, table(spark, sf_dir, "documents"))
+    return scan(spark, table(spark, sf_dir, "documents"), wrapped=True)
