@@ -1,17 +1,23 @@
 """Byte-level BPE: a fold over the ranked merges of each distinct word, and its inverse.
 
-1. Blocks of documents list their distinct words (matches of the public pattern).
-2. Words of all blocks are made distinct; Spark's higher-order functions fold the merges over each
-   word's bytes, looking ranks up in a literal map.
-3. Each block joins its words' ids back and writes its documents' ids; decoding concatenates the
-   binary pieces of the ids.
-
-A document's text crosses the network once, compressed; the merges run once a distinct word.
-Words longer than FOLD_BYTES (the fold is quadratic) are encoded by the library where their block
-is put together, with the same result.
-
-Defined cases: null counts as empty, which has no ids; null ids and repeated rows are kept; extra
-columns are ignored; an empty table gives an empty result.
+One stage without a shuffle, three steps a task, all in the order of its rows:
+
+1. Documents are cut into words (matches of the public pattern) once. Words that are whole pieces of
+   the vocabulary have their rank at once; every other word is listed when the task first meets it,
+   as an array of bytes. Documents travel on as numbers of words.
+2. Spark's higher-order functions fold the ranked merges over each listed array, looking ranks of
+   pairs up in a literal rank map.
+3. Word numbers become ids; decoding concatenates the binary pieces of the ids.
+
+A word is folded once in each task that holds it, so the work grows with the input and nothing but
+the vocabulary is shared: a lost executor costs its tasks alone. A task forgets its words when they
+are more than HELD, so its memory is bounded; blocks of about BLOCK_CHARS characters bound the rows.
+The fold of an n-byte word costs n squared: words over FOLD_BYTES bytes take the same merges by a
+heap, n log n, in step 3.
+
+Defined cases: null counts as empty, which has no ids; null ids and repeated rows are kept; very long
+texts are blocks of their own; extra columns, whatever their names, are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -19,26 +25,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import env_path, table
 
 #: Characters of text in a block; one longer document is a block of its own.
-BLOCK_CHARS = 40_000_000
-#: A word's place: its block's number above this many bits, its number in the block below.
-PLACE = 24
-FOLD_BYTES = 160
-#: Buckets of the literal map, so that a lookup reads few entries.
-BUCKETS = 1 << 13
-#: Ranks are below NONE; in a pair's number the rank stands above SHIFT bits of its start.
-NONE, SHIFT = 1 << 30, 20
-MASK = (1 << SHIFT) - 1
+BLOCK_CHARS = 4_000_000
+#: Words and parts that a task remembers before it starts afresh.
+HELD = 2_000_000
+FOLD_BYTES = 8192
+#: The rank map is a table of SLOTS places. A pair lies at one of two: a multiple of each id, a prime to divide their sum by.
+SLOTS, FIRST, SECOND = 1 << 18, (50_021, 30_011, 262_139), (40_507, 99_991, 262_133)
+#: A number in the fold: the rank of a pair, the place of its first byte, the id of its first piece.
+PLACE, RANK = 20, 40
+NONE = 1 << 20
+LOW = (1 << PLACE) - 1
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -47,245 +55,322 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]):
-    """The ranks as a literal: an array of small maps from hexadecimal piece to rank."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        h = piece.hex().upper()
-        maps[zlib.crc32(h.encode()) % BUCKETS][h] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def _rank(p: str) -> str:
-    return f"coalesce(try_element_at(get(rk, cast(crc32(cast({p} as binary)) % {BUCKETS} as int)), {p}), {NONE})"
-
-
-def _piece(a: str, b: str) -> str:
-    """Hexadecimal digits of the bytes from a up to b."""
-    return f"substr(hx, cast(2 * ({a}) + 1 as int), cast(2 * (({b}) - ({a})) as int))"
-
+def pair_table(ranks: dict[bytes, int]) -> list[int]:
+    """key << 20 | rank of each pair of pieces that make a piece, at one of its two places; else -1.
 
-def _pair(a: str, b: str) -> str:
-    """The number of a pair of pieces that spans a up to b: its rank, then a."""
-    return f"get(transform(array({_piece(a, b)}), x -> shiftleft(cast({_rank('x')} as bigint), {SHIFT}) | ({a})), 0)"
-
-
-def fold_merges(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds ``ids`` (array<int>) to rows with a column ``word``.
-
-    The state is one array: for each piece, the rank of merging it with the next one above the
-    piece's start. Its smallest element is the merge to do, leftmost first among equals; a merge
-    changes the element before it and its own, and drops the next.
+    A pair's key is both ids. A pair that finds its places taken moves the one there on.
     """
-    start = lambda i: f"(get(e, {i}) & {MASK}L)"
-    end = lambda i: f"coalesce(get(e, {i}) & {MASK}L, n)"
-    none = f"{NONE << SHIFT}L"
-    merged = f"""get(transform(array(cast(array_position(e, array_min(e)) as int)), p -> flatten(array(
-        slice(e, 1, greatest(p - 2, 0)),
-        if(p > 1, array({_pair(start('p - 2'), end('p + 1'))}), slice(e, 1, 0)),
-        array(if(p + 1 < size(e), {_pair(start('p - 1'), end('p + 2'))}, {none} | {start('p - 1')})),
-        slice(e, p + 2, size(e))))), 0)"""
-    keep = [c for c in words.columns]
-    d = words.withColumns({"rk": rank_literal(ranks), "hx": F.hex("word"), "n": F.octet_length("word").cast("bigint")})
-    d = d.selectExpr(*keep, "rk", "hx", "n", f"transform(sequence(0L, n - 1), i -> if(i = n - 1, {none} | i, {_pair('i', 'i + 2')})) as e0")
-    d = d.selectExpr(*keep, "rk", "hx", "n", f"aggregate(sequence(1L, n), e0, (e, i) -> if(array_min(e) >= {none}, e, {merged})) as e")
-    d = d.selectExpr(*keep, "rk", "hx", "n", f"transform(e, x -> x & {MASK}L) as st")
-    ids = f"transform(st, (a, i) -> get(transform(array({_piece('a', 'coalesce(get(st, i + 1), n)')}), x -> {_rank('x')}), 0))"
-    return d.selectExpr(*keep, f"{ids} as ids")
-
-
-def _splitter():
-    import public_tokenizers
-    import regex
-
-    return regex.compile(public_tokenizers.PATTERN).findall
-
-
-def block_words(texts: list[str], findall) -> tuple[dict[str, int], dict, dict, list]:
-    """Distinct words of a block in order of appearance, and how its texts are made of them.
+    out = [-1] * SLOTS
+    for piece, rank in ranks.items():
+        for c in range(1, len(piece)):
+            a, b = ranks.get(piece[:c]), ranks.get(piece[c:])
+            if a is None or b is None:
+                continue
+            entry, at = (a << PLACE | b) << PLACE | rank, -1
+            for _ in range(500):
+                a, b = entry >> 2 * PLACE, entry >> PLACE & LOW
+                places = [(a * x + b * y) % p for x, y, p in (FIRST, SECOND)]
+                at = places[places[0] == at]
+                out[at], entry = entry, out[at]
+                if entry < 0:
+                    break
+            else:
+                raise ValueError("the vocabulary has too many pairs for SLOTS")
+    return out
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _rank(a: str, b: str) -> str:
+    """The rank of merging the pieces with two ids, NONE if they make none."""
+    hit = lambda x, y, p: f"get(rk, cast(({a} * {x}L + {b} * {y}L) % {p} as int))"
+    other = _let(hit(*SECOND), "r2", f"if(shiftright(r2, {PLACE}) = pair, r2 & {LOW}L, {NONE}L)")
+    found = f"if(shiftright(r1, {PLACE}) = pair, r1 & {LOW}L, {other})"
+    return _let(f"shiftleft({a}, {PLACE}) | {b}", "pair", _let(hit(*FIRST), "r1", found))
+
+
+def fold_merges(words: DataFrame, ranks: dict[bytes, int], column: str = "bytes") -> DataFrame:
+    """Adds ``ids`` (array<int>) to rows with an array of bytes; null for null and for FOLD_BYTES and more.
+
+    The state is one array with a number for each piece: the rank of merging it with the next above
+    its place and its id. The smallest number is the merge to do, leftmost first among equals; a
+    merge changes the number before it and its own, and drops the next.
+    """
+    single = [ranks.get(bytes([x]), 0) for x in range(256)]
+    none = f"shiftleft({NONE}L, {RANK})"
+    place, piece = f"({LOW << PLACE}L)", f"{LOW}L"
+    number = lambda a, b, at: f"(shiftleft({_rank(a, b)}, {RANK}) | {at} | {a})"
+    merged = _let(
+        "cast(array_position(e, m) as int)",
+        "p",
+        _let(
+            f"shiftright(m, {RANK})",
+            "a",
+            f"""concat(
+              if(p > 1, {_let('get(e, p - 2)', 'f', f"concat(slice(e, 1, p - 2), array({number(f'(f & {piece})', 'a', f'(f & {place})')}))")}, slice(e, 1, 0)),
+              array(if(p + 1 < size(e), {number('a', f'(get(e, p + 1) & {piece})', f'(m & {place})')}, {none} | (m & {place}) | a)),
+              slice(e, p + 2, size(e)))""",
+        ),
+    )
+    keep = [f"`{c}`" for c in words.columns]
+    short = f"size(`{column}`) between 1 and {FOLD_BYTES}"
+    rk = F.from_json(F.lit(json.dumps(pair_table(ranks), separators=(",", ":"))), "array<bigint>")
+    d = words.withColumns({"rk": rk, "bt": F.from_json(F.lit(json.dumps(single)), "array<bigint>")})
+    d = d.selectExpr(*keep, "rk", f"if({short}, transform(`{column}`, x -> get(bt, cast(x as int))), null) as s0")
+    e0 = number("x", "get(s0, i + 1)", f"shiftleft(cast(i as bigint), {PLACE})")
+    last = f"{none} | shiftleft(cast(i as bigint), {PLACE}) | x"
+    d = d.selectExpr(*keep, "rk", f"transform(s0, (x, i) -> if(i = size(s0) - 1, {last}, {e0})) as e0")
+    step = _let("array_min(e)", "m", f"if(m >= {none}, e, {merged})")
+    d = d.selectExpr(*keep, f"if(e0 is null, null, aggregate(sequence(1, size(e0)), e0, (e, i) -> {step})) as e")
+    return d.selectExpr(*keep, f"transform(e, x -> cast(x & {piece} as int)) as ids")
+
+
+def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges as the fold's, for a word of any length."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]  # a piece that was merged away ends nowhere
+        if j < 0 or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, -1
+        if stop < n:
+            before[stop] = i
+        for a, b in ((before[i], stop), (i, end[stop] if stop < n else -1)):
+            if a >= 0 and b > 0 and (r := ranks.get(word[a:b])) is not None:
+                heappush(heap, (r, a, b))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all elements of runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Ragged:
+    """Runs of integers that grow at the end."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.starts, self.lengths = values, np.cumsum(lengths) - lengths, lengths
+
+    def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(lengths) - lengths])
+        self.values, self.lengths = np.concatenate([self.values, values]), np.concatenate([self.lengths, lengths])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs' elements one after the other, and each run's length."""
+        n = self.lengths[which]
+        return self.values[_ragged(self.starts[which], n)], n
+
+
+class _Splitter:
+    """Words of texts, as numbers: a piece's own id, or from ``base`` on in order of first appearance.
 
     A single space between characters that are not white space always starts a word, so texts are
-    cut there first and each different part is matched once. Texts with other runs of white space
-    are matched as a whole. Returns words, parts after a space, first parts, and the word lists of
-    those whole texts (None for the others).
-    """
-    rest: dict[str, list[int] | None] = {}
-    first: dict[str, list[int] | None] = {}
-    for t in texts:
-        parts = t.split(" ")
-        first[parts[0]] = None
-        rest.update(dict.fromkeys(parts[1:]))
-    words: dict[str, int] = {}
-
-    def numbers(s: str) -> list[int]:
-        return [words.setdefault(w, len(words)) for w in findall(s)]
-
-    def after_space(k: str) -> list[int]:
-        # letters are one word, and a mark after them another
-        if k.isalpha():
-            return [words.setdefault(" " + k, len(words))]
-        if k[-1] in ".,;:!?" and k[:-1].isalpha():
-            return [words.setdefault(" " + k[:-1], len(words)), words.setdefault(k[-1], len(words))]
-        return numbers(" " + k)
-
-    bad = set()
-    for k in rest:
-        if not k or k[0].isspace() or k[-1].isspace():
-            bad.add(k)
-        else:
-            rest[k] = after_space(k)
-    for k in first:
-        if k and k[-1].isspace():
-            first[k] = None
-        else:
-            first[k] = numbers(k)
-    whole: list[list[int] | None] = [None] * len(texts)
-    for i, t in enumerate(texts):
-        parts = t.split(" ")
-        if first[parts[0]] is None or bad and not bad.isdisjoint(parts[1:]):
-            whole[i] = numbers(t)
-    return words, rest, first, whole
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
-    """Documents in blocks of about ``limit`` characters, numbered by task and order.
-
-    Two scans of the same input in one plan number alike; :func:`_assembled` checks every word.
+    cut there first, and each different part is matched once. Texts with other runs of white space
+    are matched as a whole.
     """
-    from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 12
-    held, size = [], 0
+    def __init__(self, known: dict[str, int], base: int):
+        import public_tokenizers
+        import regex
+
+        self.find, self.known, self.base = regex.compile(public_tokenizers.PATTERN).findall, known, base
+        self.reset()
+
+    def reset(self) -> None:
+        own = self
+
+        class Words(dict):
+            def __missing__(self, w: str) -> int:
+                self[w] = n = own.base + len(own.new)
+                own.new.append(w)
+                return n
+
+        class Parts(dict):
+            def __init__(self, before: str):
+                super().__init__()
+                self.before = before
+
+            def __missing__(self, k: str) -> int:
+                n = own.part(self.before, k)
+                self[k] = n
+                return n
+
+        self.words, self.after, self.first = Words(self.known), Parts(" "), Parts("")
+        self.new: list[str] = []  # words without an id of their own
+        self.told = 0
+        self.fresh: list[list[int]] = []
+        self.runs, self.count = _Ragged(np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+
+    def _run(self, words: list[str]) -> int:
+        self.fresh.append([self.words[w] for w in words])
+        self.count += 1
+        return self.count - 1
+
+    def part(self, before: str, k: str) -> int:
+        """The number of a part's run of words; -1 if the text must be matched as a whole."""
+        if before:
+            if not k or k[0].isspace() or k[-1].isspace():
+                return -1
+            # letters are one word, and a mark after them another
+            if k.isalpha():
+                return self._run([" " + k])
+            if k[-1] in ".,;:!?" and k[:-1].isalpha():
+                return self._run([" " + k[:-1], k[-1]])
+        elif k and k[-1].isspace():
+            return -1
+        return self._run(self.find(before + k))
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts, one after the other, and their count in each."""
+        runs, counts = [], []
+        for t in texts:
+            head, *rest = t.split(" ")
+            found = [self.first[head], *map(self.after.__getitem__, rest)]
+            if -1 in found:
+                found = [self._run(self.find(t))]
+            runs += found
+            counts.append(len(found))
+        if self.fresh:
+            lengths = np.array([len(x) for x in self.fresh], np.int64)
+            self.runs.extend(np.array([n for x in self.fresh for n in x], np.int64), lengths)
+            self.fresh = []
+        out, n = self.runs.take(np.array(runs, np.int64))
+        ends = np.cumsum(np.concatenate([[0], n]))[np.cumsum([0, *counts])]
+        return out.astype("<u4"), np.diff(ends)
+
+    def unlisted(self) -> list[str]:
+        out, self.told = self.new[self.told :], len(self.new)
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts in blocks of about ``limit`` characters."""
+    ids, texts, size = [], [], 0
     for b in batches:
-        at = 0
-        for i, n in enumerate(pa.compute.utf8_length(b.column(1)).to_pylist()):
-            if size and size + n > limit:
-                if i > at:
-                    held.append(b.slice(at, i - at))
-                yield number, pa.Table.from_batches(held)
-                held, size, at, number = [], 0, i, number + 1
-            size += n
-        if at < b.num_rows:
-            held.append(b.slice(at))
-    if held:
-        yield number, pa.Table.from_batches(held)
-
-
-def _pack(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (binary) of every row."""
-    return _assembled(spark, docs, ranks, id_col, text_col, digests=False)
-
-
-def _assembled(spark, docs, ranks, id_col, text_col, digests: bool, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    pieces = spark.sparkContext.broadcast({i: p for p, i in ranks.items()})  # bounded by the vocabulary
-
-    def list_words(batches):
-        findall = _splitter()
-        for number, t in _blocks(batches, block_chars):
-            words = block_words(t.column("text").to_pylist(), findall)[0]
-            words = [(w, number << PLACE | i) for w, i in words.items() if not _is_long(w)]
-            for at in range(0, len(words), 20_000):
-                w, places = zip(*words[at : at + 20_000], strict=True)
-                salt = pa.array([number >> 18] * len(w), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), salt, pa.array(places, pa.int64())], ["word", "salt", "place"])
-
-    def bodies(batches):
-        for number, t in _blocks(batches, block_chars):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_pack(t)], pa.binary())], ["block", "body"])
-
-    listed = src.mapInArrow(list_words, "word string, salt int, place long")
-    # the salt keeps a frequent word's list to the blocks of 64 tasks
-    distinct = listed.groupBy("word", "salt").agg(F.collect_list("place").alias("at"))
-    size = 2 if max(ranks.values(), default=0) < 1 << 16 else 4
-    code = F.expr(f"unhex(array_join(transform(ids, x -> lpad(hex(x), {2 * size}, '0')), ''))").alias("code")
-    found = fold_merges(distinct, ranks).select(F.explode("at").alias("place"), code)
-    # a task's words for one block travel as one row
-    found = found.select(F.shiftright("place", PLACE).alias("block"), F.col("place").bitwiseAND((1 << PLACE) - 1).cast("int").alias("i"), "code")
-    found = found.groupBy("block", F.pmod("i", F.lit(8)).alias("part")).agg(F.collect_list("i").alias("i"), F.collect_list("code").alias("code"))
-    packed = src.mapInArrow(bodies, "block long, body binary")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        import numpy as np
-
-        findall, names, kind = _splitter(), pieces.value, f">u{size}"
-        short: dict[int, bytes] = {}
-        for places, codes in zip(right.column("i").to_pylist(), right.column("code").to_pylist(), strict=True):
-            short.update(zip(places, codes, strict=True))
-        out = {"doc_id": [], "ids": [], "decoded": []}
-        for body in left.column("body").to_pylist():
-            t = pa.ipc.open_stream(body).read_all()
-            texts = t.column("text").to_pylist()
-            words, rest, first, whole = block_words(texts, findall)
-            codes = [_library(w, names, kind) if _is_long(w) else short.get(i, b"") for w, i in words.items()]
-            ids_all = np.frombuffer(b"".join(codes), kind)
-            raw, ends = ids_all.astype("<u4").tobytes(), np.cumsum([len(c) // size for c in codes]).tolist()
-            enc = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-            piece = [names[x] for x in ids_all.tolist()]
-            dec = [b"".join(piece[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
-            if b"".join(dec) != "".join(words).encode() or any(len(d) != len(w.encode()) for d, w in zip(dec, words, strict=True)):
-                raise ValueError("a block's words and its texts differ: the input changed while it was read")
-            rest_b = {k: b"".join([enc[n] for n in v]) for k, v in rest.items() if v is not None}
-            rest_d = {k: b"".join([dec[n] for n in v]) for k, v in rest.items() if v is not None}
-            for doc, text, w in zip(t.column("doc_id").to_pylist(), texts, whole, strict=True):
-                if w is None:
-                    head, *parts = text.split(" ")
-                    w = first[head]
-                else:
-                    parts = []
-                ids = b"".join([enc[n] for n in w] + [rest_b[p] for p in parts])
-                plain = b"".join([dec[n] for n in w] + [rest_d[p] for p in parts])
-                out["doc_id"].append(doc)
-                if digests:
-                    out["ids"].append((len(ids) // 4, hashlib.sha256(ids).hexdigest()))
-                    out["decoded"].append(hashlib.sha256(plain).hexdigest())
-                else:
-                    out["ids"].append(ids)
-                    out["decoded"].append(plain)
-        if digests:
-            return pa.table(
-                {
-                    "doc_id": pa.array(out["doc_id"], pa.int64()),
-                    "n_tokens": pa.array([x[0] for x in out["ids"]], pa.int64()),
-                    "ids_sha256": pa.array([x[1] for x in out["ids"]], pa.string()),
-                    "decoded_sha256": pa.array(out["decoded"], pa.string()),
-                }
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if size and size + len(t) > limit:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+    if ids:
+        yield ids, texts
+
+
+def _byte_lists(words: list[str]) -> pa.Array:
+    raw = [w.encode("utf-8", "replace") for w in words]
+    ends = np.cumsum([0, *map(len, raw)], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16)))
+
+
+def encode(
+    spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text",
+    digests: bool = False, block_chars: int = BLOCK_CHARS, held: int = HELD,
+) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (binary) of every row.
+
+    With ``digests``: doc_id, n_tokens and the SHA-256 of ids and of decoded bytes instead.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sent = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
+    listed = pa.schema([("bytes", pa.list_(pa.int16())), ("new", pa.bool_()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("body", pa.binary())])
+
+    def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = max(sent.value.values(), default=-1) + 1
+        known = {}
+        for p, i in sent.value.items():
+            try:
+                known[p.decode()] = i
+            except UnicodeDecodeError:  # no word consists of half a character
+                continue
+        s, new = _Splitter(known, base), True
+        for ids, texts in _blocks(batches, block_chars):
+            if s.count + len(s.words) > held:
+                s.reset()
+                new = True
+            numbers, counts = s.numbers(texts)
+            words = s.unlisted()
+            for at in range(0, len(words), 10_000):
+                part = _byte_lists(words[at : at + 10_000])
+                yield pa.RecordBatch.from_arrays([part, pa.array([new] + [None] * (len(part) - 1), pa.bool_()), *(pa.nulls(len(part), t) for t in listed.types[2:])], schema=listed)
+                new = False
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, listed.types[0]), pa.array([new]), pa.array([ids], listed.types[2]), pa.array([counts], listed.types[3]), pa.array([numbers.tobytes()], pa.binary())], schema=listed
             )
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()), "decoded": pa.array(out["decoded"], pa.binary())})
-
+            new = False
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = sent.value
+        base = max(ranks.values(), default=-1) + 1
+        names = [b""] * base
+        for p, i in ranks.items():
+            names[i] = p
+        words = None
+        for b in batches:
+            body, fresh = b.column("body").to_pylist(), b.column("new").to_pylist()
+            stops = sorted({i for i, x in enumerate(body) if x is not None} | {i for i, x in enumerate(fresh) if x} | {b.num_rows})
+            at = 0
+            for stop in [*stops]:
+                if stop > at:
+                    words.extend(*_checked(b.slice(at, stop - at), names, ranks))
+                at = stop
+                if stop == b.num_rows:
+                    break
+                if fresh[stop]:
+                    words = _Ragged(np.arange(base, dtype=np.int64), np.ones(base, np.int64))
+                if body[stop] is not None:
+                    counts = b.column("counts")[stop].values.to_numpy()
+                    yield assembled(b.column("docs")[stop].values, counts, np.frombuffer(body[stop], "<u4"), words, names)
+                    at = stop + 1
+
+    def assembled(ids: pa.Array, counts: np.ndarray, numbers: np.ndarray, words: _Ragged, names: list[bytes]) -> pa.RecordBatch:
+        tokens, n = words.take(numbers)
+        ends = np.cumsum(np.concatenate([[0], n]))[np.cumsum(np.concatenate([[0], counts]))].tolist()
+        raw, pieces = tokens.astype("<u4").tobytes(), list(map(names.__getitem__, tokens.tolist()))
+        spans = list(zip(ends, ends[1:]))  # noqa: B905
+        enc, dec = [raw[4 * a : 4 * b] for a, b in spans], [b"".join(pieces[a:b]) for a, b in spans]
+        if not digests:
+            return pa.RecordBatch.from_arrays([ids, pa.array(enc, pa.binary()), pa.array(dec, pa.binary())], ["doc_id", "ids", "decoded"])
+        sha = lambda x: pa.array([hashlib.sha256(v).hexdigest() for v in x], pa.string())
+        return pa.RecordBatch.from_arrays([ids, pa.array([b - a for a, b in spans], pa.int64()), sha(enc), sha(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kinds = "bytes array<smallint>, new boolean, docs array<bigint>, counts array<bigint>, body binary"
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids binary, decoded binary"
-    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
-
-
-def _is_long(word: str) -> bool:
-    return 4 * len(word) > FOLD_BYTES and len(word.encode()) > FOLD_BYTES
+    return fold_merges(src.mapInArrow(number_words, kinds), ranks).mapInArrow(assemble, schema)
 
 
-def _library(word: str, names: dict[int, bytes], kind: str) -> bytes:
-    """The library's ids of a word too long to fold."""
-    import numpy as np
-    import public_tokenizers
-    import tiktoken
-
-    ranks = {p: i for i, p in names.items()}
-    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return np.array(e.encode_ordinary(word), kind).tobytes()
+def _checked(b: pa.RecordBatch, names: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a run of word rows and their counts; each word's pieces must make up the word."""
+    raw, ids = b.column("bytes"), b.column("ids")
+    if ids.null_count:
+        lists = [merge_by_heap(np.array(w, np.uint8).tobytes(), ranks) if x is None else x for w, x in zip(raw.to_pylist(), ids.to_pylist(), strict=True)]
+        ids = pa.array(lists, pa.list_(pa.int32()))
+    values, n = ids.flatten().to_numpy().astype(np.int64), pc.list_value_length(ids).to_numpy().astype(np.int64)
+    pieces = list(map(names.__getitem__, values.tolist()))
+    size = np.cumsum([0, *map(len, pieces)])[np.cumsum(np.concatenate([[0], n]))]
+    if b"".join(pieces) != raw.flatten().to_numpy().astype(np.uint8).tobytes() or (np.diff(size) != pc.list_value_length(raw).to_numpy()).any():
+        raise ValueError("a word's pieces do not make up the word")
+    return values, n
 
 
 def decode(ids: bytes, ranks: dict[bytes, int]) -> bytes:
     """The bytes of little-endian ids: their pieces, one after the other."""
-    import numpy as np
-
     names = {i: p for p, i in ranks.items()}
     return b"".join(names[x] for x in np.frombuffer(ids, "<u4").tolist())
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assembled(spark, table(spark, sf_dir, "documents"), load_ranks(), "doc_id", "text", digests=True)
+    return encode(spark, table(spark, sf_dir, "documents"), load_ranks(), digests=True)

@@ -11,8 +11,9 @@ Rows find their places by their rank among pieces of their length, so nothing ab
 documents is ever gathered.
 
 Defined cases: a null text is empty and has the end id alone; null ids and repeated rows are packed
-like any other; an empty table gives no sequences; extra columns are ignored. A special token's
-string inside a text is ordinary text.
+like any other; very long texts are encoded whole; pieces of one length are ranked by their number, so
+ties have an order; an empty table gives no sequences; extra columns, whatever their names, are
+ignored. An added token's string inside a text is that token, as in the definition's plain call.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Cut pieces up to this number are broadcast to find their documents; more are joined by a shuffle.
 FEW = 10_000
-#: Rows ranked together; larger groups are split by a hash.
-RANKED = 100_000
+#: Splits of each length's pieces for ranking, and rows of a split from which there are more of them.
+SPLITS, RANKED = 64, 100_000
 
 
 def byte_ranks(definition: str) -> dict[bytes, int] | None:
@@ -61,33 +63,40 @@ def byte_ranks(definition: str) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Whole texts to little-endian 32-bit ids, as the definition's tokenizer gives them without special tokens."""
+    """Whole texts to little-endian 32-bit ids, as the definition's tokenizer gives them without special tokens.
+
+    Texts that hold the string of an added token go to that tokenizer itself, which gives it its own id.
+    """
 
     def __init__(self, definition: str, ranks: dict[bytes, int] | None):
-        self.text = self.t = None
+        self.definition, self.ranks = definition, None
+        self.added = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
         if ranks:
             import public_tokenizers
             import tiktoken
 
-            self.text = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
-            from tokenizers import Tokenizer
+            self.ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.definition)
 
-            self.t = Tokenizer.from_str(definition)
-            self.t.encode_special_tokens = True
+    def _defined(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.text:
-            return [np.array(self.text.encode_ordinary(t), "<u4").tobytes() for t in texts]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.ranks:
+            return self._defined(texts)
+        return [self._defined([t])[0] if any(x in t for x in self.added) else np.array(self.ranks.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
 def _vocabulary(spark: SparkSession, path: str | None):
     """The definition and its ranks, sent to every executor: of a fixed size."""
     with open(path or env_path("byte_bpe_50k.json", "QUILLSPARK_BPE_JSON"), encoding="utf-8") as f:
         definition = f.read()
-    ranks = byte_ranks(definition)
-    return spark.sparkContext.broadcast(("" if ranks else definition, ranks))
+    return spark.sparkContext.broadcast((definition, byte_ranks(definition)))
 
 
 def _groups(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -242,7 +251,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def ranked(p: DataFrame) -> DataFrame:
     """Adds ``rank``, from 0 among pieces of equal length, without gathering those."""
     total = p.count()
-    p = p.withColumn("hb", F.pmod(F.xxhash64("uid"), F.lit(total // RANKED + 1)).cast("int"))
+    p = p.withColumn("hb", F.pmod(F.xxhash64("uid"), F.lit(max(SPLITS, total // RANKED + 1))).cast("int"))
     each = p.groupBy("length", "hb").agg(F.count("*").alias("n"))
     # one row per length and split here
     base = each.selectExpr("length", "hb", "sum(n) over (partition by length order by hb) - n as base")

@@ -119,17 +119,36 @@ def test_byte_bpe(spark, nasty, nothing):
     got = byte_bpe.encode(spark, nasty, ranks).collect()
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert all(byte_bpe.decode(bytes(r["ids"]), ranks) == bytes(r["decoded"]) for r in got)
-    small = byte_bpe._assembled(spark, nasty, ranks, "doc_id", "text", False, block_chars=500).collect()
+    small = byte_bpe.encode(spark, nasty.coalesce(1), ranks, block_chars=500, held=300).collect()  # many blocks, words forgotten
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in small) == want
+    short = {r["doc_id"]: r for r in byte_bpe.encode(spark, nasty, ranks, digests=True).filter("doc_id is not null").collect()}
+    for d, ids, text in want:
+        if d is not None and d != 11:
+            assert short[d]["ids_sha256"] == hashlib.sha256(ids).hexdigest() and short[d]["decoded_sha256"] == hashlib.sha256(text).hexdigest()
     assert byte_bpe.encode(spark, nothing, ranks).count() == 0
 
 
+def test_byte_bpe_words_of_any_length(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks()
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(3)
+    words = ["x" * 5000, "".join(r.choice("abcdefé世") for _ in range(3000)), "".join(r.choice("-_=#*") for _ in range(5000))]
+    rows = spark.createDataFrame([(list(w.encode()),) for w in words], "bytes array<smallint>")
+    assert [x["ids"] for x in byte_bpe.fold_merges(rows, ranks).collect()] == [e.encode_ordinary(w) for w in words]
+    words += ["y" * 20_000, "".join(r.choice("abcdefghijk") for _ in range(20_000))]
+    assert [byte_bpe.merge_by_heap(w.encode(), ranks) for w in words] == [e.encode_ordinary(w) for w in words]
+    got = byte_bpe.encode(spark, make(spark, list(enumerate(words))), ranks).collect()
+    assert {x["doc_id"]: bytes(x["ids"]) for x in got} == {i: struct.pack(f"<{len(v)}I", *v) for i, w in enumerate(words) for v in [e.encode_ordinary(w)]}
+
+
 def test_packing(spark, nasty, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(spark, nasty).collect()
     assert all((r["offset"] + r["length"]) <= 2048 and r["length"] > 0 for r in got)
     seqs = defaultdict(list)
@@ -193,10 +212,9 @@ def test_ranks_stand_for_the_definition():
     definition = open(path, encoding="utf-8").read()
     ranks = packing.byte_ranks(definition)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     fast, slow = packing.Encoder(definition, ranks), packing.Encoder(definition, None)
     r = random.Random(6)
-    texts = ["".join(r.choice("abcdeéñ世🙂-_#0123 \t\n'.,TheNSZ") for _ in range(200)) for _ in range(400)] + ["", "<|endoftext|>"]
+    texts = ["".join(r.choice("abcdeéñ世🙂-_#0123 \t\n'.,TheNSZ") for _ in range(200)) for _ in range(400)] + ["", "<|endoftext|>", "x <|endoftext|> y", "a<|endoftext|><|endoftext|>b"]
     assert fast(texts) == slow(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
     assert packing.byte_ranks(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()) is None
 
