@@ -67,7 +67,48 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def spent(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables of :func:`written` that nothing will read any more."""
+    for t in tables:
+        drop_path(spark, t.scratch)
+        _MADE[:] = [m for m in _MADE if m[1] != t.scratch]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def identified(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two more columns that together name a row for good, and their names.
+
+    They are the file (its path's hash) and the row's place in it, which any later scan gives alike.
+    Rows that do not come straight from files are written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(spark, docs, "rows")
+    key = [fresh(docs.columns, "file_key"), fresh(docs.columns, "row_key")]
+    meta = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(meta["file_path"]).alias(key[0]), meta["row_index"].alias(key[1])), key
+
+
+def without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, key: list[str], few: int = 500_000) -> DataFrame:
+    """Rows of :func:`identified` but those whose key is in ``dropped``, without the key.
+
+    Up to ``few`` keys are broadcast, so that no text is shuffled; more are joined by a shuffle of
+    ``docs``, with the same result.
+    """
+    dropped = written(spark, dropped.select(*key), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= few else dropped
+    return docs.join(side, key, "left_anti").drop(*key)
 
 
 def held_out(doc_id: str = "doc_id"):

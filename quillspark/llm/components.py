@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spent, written
 
 
 def connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +36,9 @@ def connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> Da
                 )
             ).alias("s")
         )
-        e = written(spark, small.select("s.u", "s.v").filter("u <> v").distinct(), "edges")
+        last, e = e, written(spark, small.select("s.u", "s.v").filter("u <> v").distinct(), "edges")
+        if last is not nodes:
+            spent(spark, last)
         now = state(e)
         if now == before:
             break

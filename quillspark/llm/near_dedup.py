@@ -8,8 +8,8 @@ four bits (one key or six), and every such pair of segments meets.
 
 Three differing bits over three segments leave, by the pigeonhole principle, either some segment
 equal and another off by one at most (six kinds of key: an exact segment with another's codeword),
-or one bit wrong in each (one kind: two codewords and the three flipped parities). Pairs that meet
-are verified on all 64 bits; components of the links follow.
+or one bit wrong in each (two kinds: two codewords, the three flipped parities, and one half of the
+last segment, since its wrong bit lies in the other). Pairs that meet are verified on all 64 bits; components of the links follow.
 
 Where a ``similarity`` is asked for (the pipeline's stage), texts whose sets of five-word shingles reach
 that Jaccard similarity are linked too. Candidates share a key of BANDS bands of ROWS MinHash values
@@ -19,7 +19,9 @@ links so far leave in different components meet, so a large group of near copies
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; equal fingerprints
 are one class, whatever the number of rows; a null id is no component's smallest (a component of
-null ids only has a null id); repeated rows are kept; an empty table gives an empty result.
+null ids only has a null id); repeated rows are kept; very long texts are read whole; a bit set in
+exactly half of the hashes is 0; other columns, whatever their names, are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spent, table, written
 from .components import connected
 
 #: Generator polynomial of the binary Golay code of length 23.
@@ -65,17 +67,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, fp) of every row; th hashes the text, fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """(doc_id, th, fp) of every row; th hashes the text, fp holds the 64 bits as a signed long.
+
+    The long columns in ``carry`` come along as carry0, carry1 and so on.
+    """
+    more = [f"carry{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view("<i8"))], ["doc_id", "th", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view("<i8")), *b.columns[3:]], ["doc_id", "th", "fp", *more])
 
     text = F.coalesce(text_col, F.lit("")).alias("text")
-    src = docs.select(F.col(id_col).alias("doc_id"), text, F.xxhash64(text).alias("th"))
-    return src.mapInArrow(run, "doc_id long, th long, fp long")
+    src = docs.select(F.col(id_col).alias("doc_id"), text, F.xxhash64(text).alias("th"), *(F.col(f"`{c}`").alias(m) for c, m in zip(carry, more, strict=True)))
+    return src.mapInArrow(run, "doc_id long, th long, fp long" + "".join(f", {m} long" for m in more))
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,11 +132,14 @@ def keys(fps: np.ndarray, tables, wide: bool) -> tuple[np.ndarray, np.ndarray]:
                 out.append(kind << 56 | seg[i][r] << 12 | near[j][r, k])
             kind += 1
     flags = sum((p ^ wide) << b for b, p in enumerate(parity))
-    for k in range(near[0].shape[1]):
-        for m in range(near[1].shape[1]):
-            r = np.flatnonzero((count[0] > k) & (count[1] > m))
-            at.append(r)
-            out.append(kind << 56 | flags[r] << 24 | near[0][r, k] << 12 | near[1][r, m])
+    # of the last segment's halves one is equal, as one of its bits alone differs
+    for half in range(2):
+        own = seg[2] >> (9 * half) & 511
+        for k in range(near[0].shape[1]):
+            for m in range(near[1].shape[1]):
+                r = np.flatnonzero((count[0] > k) & (count[1] > m))
+                at.append(r)
+                out.append((kind + half) << 56 | own[r] << 27 | flags[r] << 24 | near[0][r, k] << 12 | near[1][r, m])
     return np.concatenate(at), np.concatenate(out)
 
 
@@ -235,12 +244,14 @@ def similar(spark: SparkSession, docs: DataFrame, rows: DataFrame, edges: DataFr
         for x in "ab":
             pairs = pairs.join(named.toDF(x, f"n{x}", f"f{x}"), x)
         pairs = pairs.filter((F.col("fa") != F.col("fb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-9))
-        pairs = written(spark, pairs, "pairs")
+        pairs = listed = written(spark, pairs, "pairs")
         for x in "ab":
             pairs = pairs.join(sets.toDF(x, f"s{x}"), x)
         pairs = pairs.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         found = pairs.filter(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * F.lit(similarity) - 1e-9)
-        return written(spark, found.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct(), "similar")
+        found = written(spark, found.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct(), "similar")
+        spent(spark, listed)
+        return found
 
     first = written(spark, met.filter("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b")).distinct(), "stars")
     one = linked(first)
@@ -254,20 +265,22 @@ def similar(spark: SparkSession, docs: DataFrame, rows: DataFrame, edges: DataFr
     few = rest.filter("root <> major").select("key", F.col("th").alias("x"), F.col("root").alias("rx"))
     pairs = few.join(rest.select("key", F.col("th").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return one.union(linked(pairs.join(first, ["a", "b"], "left_anti"))).distinct()
+    both = written(spark, one.union(linked(pairs.join(first, ["a", "b"], "left_anti"))).distinct(), "links")
+    spent(spark, texts, met, sets, first, member, one)
+    return both
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, carry: tuple = ()
 ) -> DataFrame:
-    """doc_id, fingerprint, component_id, n_links, root and th of every row.
+    """doc_id, fingerprint, component_id, n_links, root, th and the long columns in ``carry`` of every row.
 
     With ``similarity``, components also follow the links of ``similar``; n_links counts those as well.
 
     n_links counts the other fingerprints linked to this one; root names the component even if its
     ids are null; th is the text's hash.
     """
-    rows = written(spark, fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = written(spark, fingerprints(docs, id_col, text_col, carry), "fingerprints")
     fps = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = written(spark, links(fps), "links")
     if similarity is not None:
@@ -286,8 +299,11 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("root", "fp").alias("root"),
     )
+    # a table of its own, so that the rows of a frequent fingerprint can be split in the join
+    classes = written(spark, classes, "classes")
+    more = [F.col(f"carry{i}").alias(c) for i, c in enumerate(carry)]
     return rows.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", "root", "th"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", "root", "th", *more
     )
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import common, components, url_filter, warc
 
@@ -126,6 +127,35 @@ def test_pipeline_stages(spark, nasty, nothing, tmp_path):
             assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fps) for b in fps[:i]) and len(want) == 2
 
 
+def test_dedup_stages_by_brute_force(spark, nasty, tmp_path):
+    import corpus_pipeline as c
+    from quillspark.llm import near_dedup
+
+    odd = "wid", "wkey", "_n", "_key", "_sha", "file_key", "carry0", "th", "fp", "root", "text_"
+    docs = nasty.select("doc_id", "text", *(F.col("w").alias(x) for x in odd))
+    docs.write.parquet(str(tmp_path / "d"))
+    for src in (docs, spark.read.parquet(str(tmp_path / "d"))):
+        once = c.distinct(spark, src, str(tmp_path))
+        assert once.columns == src.columns and once.filter("wid = 'w' and _sha = 'w' and file_key = 'w'").count() == once.count()
+        got = sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in once.collect()), key=str)
+        groups = {}
+        for r in src.collect():
+            t = r["text"] or ""
+            groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), r["doc_id"] is None, r["doc_id"], t))
+        assert got == sorted(((x[1], x[2], x[3]) for x in (min(g, key=lambda x: (x[0], x[1], x[2] or 0)) for g in groups.values())), key=str)
+        left = c.unlike(spark, src, str(tmp_path))
+        rows = [(r["doc_id"], r["text"] or "") for r in src.collect()]
+        fp, sets = [near_dedup.fingerprint(t) for _, t in rows], [set(near_dedup.shingles(t).tolist()) for _, t in rows]
+        label = list(range(len(rows)))
+        for _ in rows:
+            near = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            label = [min(label[j] for j in range(len(rows)) if near(i, j)) for i in range(len(rows))]
+        want = Counter()
+        for k in set(label):
+            want[min((rows[i][0] for i in range(len(rows)) if label[i] == k and rows[i][0] is not None), default=None)] += 1
+        assert Counter(r["doc_id"] for r in left.collect()) == want and left.columns == src.columns
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
 def test_run(spark):
     import corpus_pipeline as c

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import byte_bpe, exact_dedup, license_scan, near_dedup, packing, quality_classifier, quality_rules, toxicity
 
@@ -95,8 +96,10 @@ def test_golay_keys_meet():
     assert all(left[i] & right[i] for i in range(len(a)))
 
 
-def test_exact_dedup(spark, nasty, nothing):
-    got = exact_dedup.deduplicate(spark, nasty).collect()
+@pytest.mark.parametrize("bits", [64, 3])
+def test_exact_dedup(spark, nasty, nothing, bits):
+    # three bits give many chunks a common key, so the digests decide
+    got = exact_dedup.deduplicate(spark, nasty, bits=bits).collect()
     groups = defaultdict(list)
     for d, t in pairs(nasty):
         groups[re.sub(SPACE, "", t or "")].append((-len(t or ""), math.inf if d is None else d, d))
@@ -104,9 +107,32 @@ def test_exact_dedup(spark, nasty, nothing):
     for n, g in groups.items():
         keep = min(g, key=lambda x: x[:2])[2]
         for _, _, d in g:
-            want[d, keep, len(g), d == keep, hashlib.sha256(n.encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
-    assert exact_dedup.deduplicate(spark, nothing).count() == 0
+            want[d, keep, len(g), hashlib.sha256(n.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    stay = Counter(r["text_sha256"] for r in got if r["kept"])
+    assert len(stay) == len(groups) and set(stay.values()) == {1}  # one row a group, null and repeated ids too
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+    assert exact_dedup.deduplicate(spark, nothing, bits=bits).count() == 0
+
+
+def test_exact_dedup_ties(spark):
+    rows = [(None, "a b"), (None, "a c"), (None, "a b"), (4, "ab "), (5, "a b"), (7, "x"), (7, "y"), (-(2**63), "z"), (1, "z")]
+    got = exact_dedup.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["keep_id"]) for r in got if r["kept"]) == Counter([(4, 4), (None, None), (7, 7), (7, 7), (-(2**63), -(2**63))])
+
+
+def test_chunks_follow_content(spark):
+    r = random.Random(9)
+    prose = "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(60_000))
+    hanzi = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(20_000))
+    texts = [prose, prose[:20_000] + "inserted" + prose[20_000:], hanzi, "x" * 50_000, "", "é"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", exact_dedup.chunks_of(F.col("t")).alias("c"))
+    c = {x["i"]: x["c"] for x in d.collect()}
+    for i, t in enumerate(texts):
+        assert "".join(c[i]).replace(" ", "").replace("\n", "") == t
+        assert all(len(re.sub("[ \n]", "", x)) <= 128 * 128 for x in c[i]) and all(len(re.sub("[ \n]", "", x)) >= 8 * 25 for x in c[i][:-1])
+    assert len(c[2]) > 3 and len(c[3]) > 2
+    assert len(set(c[0]) ^ set(c[1])) <= 10 < len(c[0])  # an insertion changes the chunks around it only
 
 
 def test_byte_bpe(spark, nasty, nothing):
