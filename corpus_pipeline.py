@@ -1,9 +1,13 @@
 """The corpus pipeline: STAGES in order, each reading what the one before it wrote.
 
 quality classifier -> quality rules -> exact dedup -> SimHash near-dedup -> packing. Every stage
-takes (spark, docs, sf_dir); all but the last return the columns of documents. A row with a null
-text counts as empty; repeated rows are duplicates and one of them stays; an empty table passes
-through as an empty one.
+takes (spark, docs, sf_dir); all but the last return the columns of documents, and any others that
+the rows have, whatever their names. A row with a null text counts as empty; repeated rows are
+duplicates and one of them stays, ties going to the smallest id, then to the first row; very long
+texts take part whole; an empty table passes through as an empty one.
+
+The two dedup stages decide over digests and drop rows by their place in the input's files, so texts
+move through no window and, unless very many rows go, through no shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
-from quillspark.llm.common import labelled, table, written
+from quillspark.llm.common import fresh, identified, labelled, table, without, written
 
 #: A document stays if its probability of good quality is at least this.
 LEAST_QUALITY = 0.7
@@ -23,9 +27,7 @@ SIMILARITY = 0.8
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_classifier.fit(docs, labelled(spark, sf_dir, "quality"))
-    name = "_quality"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs.columns, "quality")
     scored = quality_classifier.score(spark, docs, model, name=name)
     return scored.filter(F.col(name) >= LEAST_QUALITY).drop(name)
 
@@ -36,24 +38,11 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, docs, trusted).filter("kept").select("row.*")
 
 
-def _one_of_each(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each (doc_id, key) of ``wanted``; the longest of rows that share them.
-
-    ``key`` is an SQL expression over docs; ``wanted`` has the distinct columns wid and wkey.
-    """
-    rows = docs.withColumn("_key", F.expr(key))
-    met = rows.join(wanted, (rows["_key"] == wanted["wkey"]) & rows["doc_id"].eqNullSafe(wanted["wid"]))
-    met = met.selectExpr("*", "row_number() over (partition by wid, wkey order by length(text) desc, text) as _n")
-    return met.filter("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
-    found = exact_dedup.deduplicate(spark, docs).filter("kept")
-    wanted = found.select(F.col("doc_id").alias("wid"), F.col("text_sha256").alias("wkey")).distinct()
-    t = exact_dedup.normalised(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_sha", F.sha2(t, 256))
-    return _one_of_each(keyed, "_sha", wanted).drop("_sha")
+    """One document of each set of equal texts: the longest as written, then that of the smallest id."""
+    docs, key = identified(spark, docs)
+    found = exact_dedup.deduplicate(spark, docs, carry=tuple(key))
+    return without(spark, docs, found.filter("not kept"), key)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +50,12 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near duplicates are texts within three bits of SimHash, or of SIMILARITY or more.
     """
-    found = near_dedup.near_duplicates(spark, docs, similarity=SIMILARITY)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    first = found.groupBy("root").agg(F.min(order).alias("o"))
-    wanted = first.select(F.col("o.doc_id").alias("wid"), F.col("o.th").alias("wkey")).distinct()
-    return _one_of_each(docs, "xxhash64(coalesce(text, ''))", wanted)
+    docs, key = identified(spark, docs)
+    found = near_dedup.near_duplicates(spark, docs, similarity=SIMILARITY, carry=tuple(key))
+    found = written(spark, found.select("doc_id", "root", *key), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
+    first = found.groupBy("root").agg(F.min(order).alias("o")).select(*(F.col("o")[k].alias(k) for k in key))
+    return without(spark, docs, found.select(*key).join(first, key, "left_anti"), key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
