@@ -145,7 +145,7 @@ def test_byte_bpe(spark, nasty, nothing):
     got = byte_bpe.encode(spark, nasty, ranks).collect()
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert all(byte_bpe.decode(bytes(r["ids"]), ranks) == bytes(r["decoded"]) for r in got)
-    small = byte_bpe.encode(spark, nasty.coalesce(1), ranks, block_chars=500, held=300).collect()  # many blocks, words forgotten
+    small = byte_bpe.encode(spark, nasty.coalesce(1), ranks, block_chars=500).collect()  # many blocks
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in small) == want
     short = {r["doc_id"]: r for r in byte_bpe.encode(spark, nasty, ranks, digests=True).filter("doc_id is not null").collect()}
     for d, ids, text in want:
@@ -162,8 +162,8 @@ def test_byte_bpe_words_of_any_length(spark):
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(3)
     words = ["x" * 5000, "".join(r.choice("abcdefé世") for _ in range(3000)), "".join(r.choice("-_=#*") for _ in range(5000))]
-    rows = spark.createDataFrame([(list(w.encode()),) for w in words], "bytes array<smallint>")
-    assert [x["ids"] for x in byte_bpe.fold_merges(rows, ranks).collect()] == [e.encode_ordinary(w) for w in words]
+    rows = spark.createDataFrame([(i, w.encode()) for i, w in enumerate(words)], "i int, word binary")
+    assert {x["i"]: x["ids"] for x in byte_bpe.fold_merges(rows, ranks).collect()} == {i: e.encode_ordinary(w) for i, w in enumerate(words)}
     words += ["y" * 20_000, "".join(r.choice("abcdefghijk") for _ in range(20_000))]
     assert [byte_bpe.merge_by_heap(w.encode(), ranks) for w in words] == [e.encode_ordinary(w) for w in words]
     got = byte_bpe.encode(spark, make(spark, list(enumerate(words))), ranks).collect()
