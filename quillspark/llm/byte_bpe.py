@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import env_path, table
 
 #: Characters of text in a block; one longer document is a block of its own.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 FOLD_BYTES = 8192
 #: Buckets of the literal map, so that a lookup reads few entries.
 BUCKETS = 1 << 13
@@ -145,7 +145,9 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of all elements of runs, one run after the other."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - ends + lengths, lengths)
+    out += np.arange(len(out))
+    return out
 
 
 def _splitter():
@@ -155,9 +157,11 @@ def _splitter():
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
-def block_words(texts: pa.Array, findall) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def block_words(texts: pa.Array, findall, numbers: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A block's distinct words, the number in it of every word of all texts, and each text's count.
 
+    Without ``numbers`` the last two are empty.
+
     A single space between characters that are not white space always starts a word, so texts are
     cut there first and each different part is matched once; parts of letters, and of letters and a
     mark, need no matching. Texts with other runs of white space are matched as a whole.
@@ -223,7 +227,9 @@ def block_words(texts: pa.Array, findall) -> tuple[pa.Array, np.ndarray, np.ndar
     begin[:n][marked] = one + np.arange(two)
 
     words = pa.concat_arrays([*known, pa.array(other, names.type)]).dictionary_encode()
-    code = words.indices.to_numpy().astype(np.int64)
+    if not numbers:
+        return words.dictionary, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = words.indices.to_numpy()
     # a letters-and-mark run has its mark at another place than after its body
     n_words = length[which]
     where = _ragged(begin[which], n_words)
@@ -265,19 +271,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield block()
 
 
+class _Known:
+    """The vocabulary as an array to look words up in."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces, self.ids = pa.array(list(ranks), pa.large_binary()), np.array([*ranks.values(), -1], np.int64)
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        return self.ids[pc.fill_null(pc.index_in(words, value_set=self.pieces), -1).to_numpy(zero_copy_only=False)]
+
+
 class _Block:
     """A block's words that are no pieces, by bucket and appearance; its texts as numbers of words."""
 
-    def __init__(self, texts: pa.Array, known: dict[bytes, int], base: int, buckets: int, findall):
-        words, numbers, self.counts = block_words(texts, findall)
-        raw = words.cast(pa.large_binary()).to_pylist()
-        ids = np.fromiter((known.get(w, -1) for w in raw), np.int64, len(raw))
+    def __init__(self, texts: pa.Array, known: _Known, base: int, buckets: int, findall, numbers: bool = True):
+        words, which, self.counts = block_words(texts, findall, numbers)
+        words = words.cast(pa.large_binary())
+        ids = known(words)
         new = np.flatnonzero(ids < 0)
-        bucket = np.fromiter((zlib.crc32(raw[i]) % buckets for i in new.tolist()), np.int64, len(new))
+        raw = words.take(pa.array(new)).to_pylist()
+        bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
         order = np.argsort(bucket, kind="stable")
-        self.words, self.bucket = [raw[i] for i in new[order].tolist()], bucket[order]
+        self.words, self.bucket = [raw[i] for i in order.tolist()], bucket[order]
         ids[new[order]] = base + np.arange(len(new))
-        self.numbers = ids[numbers]
+        self.numbers = ids[which]
 
     def check(self) -> int:
         return zlib.crc32(b"".join(self.words))
@@ -317,9 +334,9 @@ def encode(
     buckets = 2 * parts
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall = _splitter()
+        findall, known = _splitter(), _Known(sent.value)
         for number, _, texts in _blocks(batches, block_chars):
-            block = _Block(texts, sent.value, base, buckets, findall)
+            block = _Block(texts, known, base, buckets, findall, numbers=False)
             words, bucket = block.words, block.bucket
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)] if words else []
             rows = [(int(bucket[a]), _pack(np.array(list(map(len, words[a:b])), "<u4"), b"".join(words[a:b]))) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
@@ -368,9 +385,9 @@ def encode(
             yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "packed"])
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall = _splitter()
+        findall, known = _splitter(), _Known(sent.value)
         for number, ids, texts in _blocks(batches, block_chars):
-            b = _Block(texts, sent.value, base, buckets, findall)
+            b = _Block(texts, known, base, buckets, findall)
             body = _pack(np.array([b.check()], "<u4"), b.counts.astype("<u8"), _planes(b.numbers))
             cols = [pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([body], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block", "docs", "body"])
