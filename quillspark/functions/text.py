@@ -70,32 +70,46 @@ def printable(text) -> Column:
 
 
 def high_mojibake(text) -> Column:
+    # The least printable characters, lost characters and their share.
     p = F.length(printable(text))
     r = _n(_c(text), "�")
     return (p >= 80) & (r >= 20) & (r / F.greatest(p, F.lit(1)) > 0.04)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def low_readable(text) -> Column:
     """Whether a text reads like a failed extraction."""
+    # The patterns and thresholds of this verdict.
     c = _c(text)
-    p = F.length(printable(text))
-    share = lambda n: F.when(p == 0, F.lit(0.0)).otherwise(n / p)
-    escapes = _n(c, r"\\(?:[0-7]{2,3}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[nrt()\\])")
-    readable = share(_n(c, r"[\p{L}\p{N}]"))
-    cjk = _n(c, r"[一-龥぀-ヿ가-힯]")
-    noise = (escapes >= 3) | (_n(c, r"(?:[0-9A-Fa-f]{2}\s*){12,}") > 0) | ((p >= 24) & (readable < 0.35))
-    noise = noise | ((p >= 80) & (share(_n(c, r"[�□À-ɏ]")) > 0.12))
-    return (
-        F.when(c == "", F.lit(True))
-        .when((cjk >= 10) & (_n(c, CJK_COMMON) / F.greatest(cjk, F.lit(1)) < 0.015), F.lit(True))
-        .when((p > 10) & (share(_n(c, "�")) > 0.05), F.lit(True))
-        .when((readable >= 0.65) & (share(escapes) < 0.05), F.lit(False))
-        .otherwise(noise)
+    counts = F.struct(
+        F.length(printable(text)).alias("p"),
+        _n(c, r"\\(?:[0-7]{2,3}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[nrt()\\])").alias("escapes"),
+        _n(c, r"[\p{L}\p{N}]").alias("readable"),
+        _n(c, r"[一-龥぀-ヿ가-힯]").alias("cjk"),
+        _n(c, "\ufffd").alias("lost"),
     )
 
+    def verdict(x: Column) -> Column:
+        share = lambda n: F.when(x["p"] == 0, F.lit(0.0)).otherwise(n / x["p"])
+        noise = (x["escapes"] >= 3) | ((x["p"] >= 24) & (share(x["readable"]) < 0.35))
+        noise = noise | ((x["p"] >= 80) & (share(_n(c, "[\ufffd□À-ɏ]")) > 0.12)) | c.rlike(r"(?:[0-9A-Fa-f]{2}\s*){12}")
+        return (
+            F.when((x["cjk"] >= 10) & (_n(c, CJK_COMMON) / F.greatest(x["cjk"], F.lit(1)) < 0.015), F.lit(True))
+            .when((x["p"] > 10) & (share(x["lost"]) > 0.05), F.lit(True))
+            .when((share(x["readable"]) >= 0.65) & (share(x["escapes"]) < 0.05), F.lit(False))
+            .otherwise(noise)
+        )
+
+    return F.when(c == "", F.lit(True)).otherwise(let(counts, verdict))
+
 
 def semantic_loss(text) -> dict[str, Column]:
     """Counts of damaged formula encodings, their weighted score and the verdict (24 or more)."""
+    # Patterns and weights.
     c = _c(text)
     found = {
         "octal": (_n(c, r"\\[0-2][0-7]{2}"), 3),

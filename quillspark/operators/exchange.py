@@ -8,8 +8,21 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-POLICIES = ("standard", "strict", "local_only")
-SECRET_NAME = r"(?i)(?:api[_-]?key|secret|password|token|authorization|credential)"
+# Settings with their defaults, the policy modes, and what hides a secret.
+SETTINGS = {
+    "defaultExportFormats": ["docx", "pdf"],
+    "defaultAiModel": "",
+    "defaultApiBaseUrl": "",
+    "defaultQueryLimit": 500,
+    "extractionQualityGate": "normal",
+    "defaultPackagePath": "",
+    "preferNewVersionOnRefresh": True,
+    "policyMode": "open-core",
+}
+POLICIES = ("open-core", "team", "enterprise")
+SECRET_NAME = r"(?i)key|token|password|secret"
+HIDDEN = "[REDACTED_SECRET]"
+SELECTIONS = ("ai_context_chunk_selected", "ai_context_range_selected", "ai_query_context_selected")
 
 
 def front_matter(fields: dict) -> str:
@@ -49,30 +62,52 @@ def exchange_markdown(fields: dict, body: str, sections: dict[str, str] | None =
 
 
 def redacted(settings: Column) -> Column:
-    """A map with the values of secret names, and secrets in URLs, replaced."""
-    plain = F.transform_values(settings, lambda k, v: F.when(k.rlike(SECRET_NAME), F.lit("[REDACTED]")).otherwise(v))
-    url = r"(?i)([?&](?:token|key|api[_-]?key|secret|password)=)[^&#\s]+"
-    return F.transform_values(plain, lambda k, v: F.regexp_replace(v, url, "$1[REDACTED]"))
+    """A map with the values of secret names hidden, and elsewhere those of a URL's ``token`` parameter."""
+    url = F.regexp_replace
+
+    def value(k: Column, v: Column) -> Column:
+        in_url = F.contains(v, F.lit("?token=")) | F.contains(v, F.lit("&token="))
+        hidden = url(v, r"([?&]token=)[^&]*", "$1" + HIDDEN.replace("[", r"\[").replace("]", r"\]"))
+        return F.when(k.rlike(SECRET_NAME) & (v != ""), F.lit(HIDDEN)).when(in_url, hidden).otherwise(v)
+
+    return F.transform_values(settings, value)
+
+
+class SettingError(ValueError):
+    """A setting's name or value that is not allowed; ``code`` says which."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+def setting(key: str, value):
+    """The value as its setting keeps it."""
+    if key not in SETTINGS:
+        raise SettingError("invalid_setting_key", f"no setting {key}")
+    if key == "defaultQueryLimit":
+        try:
+            n = float(value if value not in (None, "") else 0)
+        except ValueError:
+            raise SettingError("invalid_setting_value", "defaultQueryLimit must be a number") from None
+        return int(n) if n.is_integer() else n
+    if key == "preferNewVersionOnRefresh":
+        return value is True or value == "true"
+    if key == "defaultExportFormats":
+        if isinstance(value, str):
+            return [x.strip() for x in value.split(",") if x.strip()]
+        if not isinstance(value, list):
+            raise SettingError("invalid_setting_value", "defaultExportFormats must be a list or text")
+    if key == "policyMode":
+        value = str("" if value is None else value).strip()
+        if value not in POLICIES:
+            raise SettingError("invalid_setting_value", f"policyMode must be one of {', '.join(POLICIES)}")
+    return value
 
 
 def settings_row(values: dict) -> dict:
-    """Allowed settings with their types; ValueError for unknown names or values."""
-    kinds = {
-        "default_query_limit": int, "preview_rows": int, "chunk_tokens": int, "policy_mode": str,
-        "mask_before_send": bool, "language": str, "output_folder": str, "keep_versions": int,
-    }
-    out = {}
-    for k, v in values.items():
-        if k not in kinds:
-            raise ValueError(f"unknown setting {k}")
-        if kinds[k] is bool:
-            v = v if isinstance(v, bool) else {"true": True, "false": False}[str(v).lower()]
-        else:
-            v = kinds[k](v)
-        if kinds[k] is int and v < 1 or k == "policy_mode" and v not in POLICIES:
-            raise ValueError(f"bad value for {k}")
-        out[k] = v
-    return out
+    """All settings: the given ones checked, defaults for the rest."""
+    return SETTINGS | {k: setting(k, v) for k, v in values.items()}
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -89,10 +124,42 @@ def with_limits(rows: DataFrame, limits: DataFrame, codes: str = "codes") -> Dat
     return named.groupBy(*keys).agg(F.transform(got, lambda x: x["action"]).alias("actions"))
 
 
+def _string(v: Column, path: str) -> Column:
+    """The text at a path of a variant; null if there is none, or something else than text."""
+    found = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _part(p: Column) -> Column:
+    return F.coalesce(_string(p, "$"), _string(p, "$.text"), _string(p, "$.text.value"), F.lit(""))
+
+
+def _parts(parts: Column) -> Column:
+    return F.array_join(F.filter(F.transform(parts, _part), lambda x: x != ""), "\n")
+
+
 def provider_text(response: Column) -> Column:
-    """The text of a stored model answer: the first that is not empty of the known layouts."""
-    paths = ("$.output_text", "$.choices[0].message.content", "$.choices[0].text", "$.content[0].text", "$.output[0].content[0].text")
-    return F.coalesce(*(F.nullif(F.get_json_object(response, p), F.lit("")) for p in paths), F.lit(""))
+    """The text of a model's answer: of the known layouts, in their order, the first that holds any.
+
+    A first choice's text and the plain output text count as soon as they are there, even if empty.
+    """
+    none = F.array().cast("array<variant>")
+    v = F.try_parse_json(response)
+    every = lambda x, path: F.coalesce(F.try_variant_get(x, path, "array<variant>"), none)
+    message = F.coalesce(_string(v, "$.choices[0].message.content"), _parts(every(v, "$.choices[0].message.content")))
+    content = lambda item: F.coalesce(
+        F.try_variant_get(item, "$.content", "array<variant>"), F.array_compact(F.array(F.try_variant_get(item, "$.content", "variant")))
+    )
+    output = _parts(F.flatten(F.transform(every(v, "$.output"), content)))
+    told = F.flatten(F.transform(every(v, "$.candidates"), lambda c: every(c, "$.content.parts")))
+    told = F.array_join(F.filter(F.transform(told, lambda p: F.coalesce(_string(p, "$.text"), F.lit(""))), lambda x: x != ""), "\n")
+    return (
+        F.when(message != "", message)
+        .when(_string(v, "$.choices[0].text").isNotNull(), _string(v, "$.choices[0].text"))
+        .when(_string(v, "$.output_text").isNotNull(), _string(v, "$.output_text"))
+        .when(output != "", output)
+        .otherwise(F.coalesce(told, F.lit("")))
+    )
 
 
 def capability(requests: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -108,15 +175,17 @@ def summary(samples: DataFrame, by: str) -> DataFrame:
 
 
 def manifest(log: DataFrame) -> DataFrame:
-    """An evidence log by section: selections, decisions, refreshes and hand-offs."""
-    k = F.col("kind")
-    section = (
-        F.when(k.contains("select"), "selections").when(k.contains("decision") | k.contains("send"), "decisions")
-        .when(k.contains("refresh"), "refreshes").when(k.contains("handoff"), "handoffs").otherwise("other")
-    )
+    """An evidence log by section: context selections, send-gate decisions, null for what a manifest leaves out."""
+    section = F.when(F.col("kind").isin(*SELECTIONS), "aiContextSelections").when(F.coalesce("decision", F.lit("")) != "", "aiSendGateDecisions")
     return log.withColumn("section", section)
 
 
+def manifest_events(events: DataFrame, kind: str = "kind") -> DataFrame:
+    """A timeline by section: hand-off bundles, refresh history, null for what a manifest leaves out."""
+    k = F.col(kind)
+    return events.withColumn("section", F.when(k == "ai_handoff_bundle", "aiHandoffBundles").when(k.isin("refresh", "import"), "refreshHistory"))
+
+
 def sensitive_path(path: Column) -> Column:
     """Whether a file's name has no place in a package."""
     name = F.regexp_extract(path, r"([^/\\]*)$", 1)

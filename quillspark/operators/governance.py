@@ -6,6 +6,7 @@ Logs are append-only and never hold bodies, query texts, mappings or keys.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +75,11 @@ def timeline(log: DataFrame, record: str | None = None) -> DataFrame:
     return d.orderBy("created", "id")
 
 
+def placed(log: DataFrame) -> DataFrame:
+    """Every record's timeline: the log with each row's place among its record's, by time."""
+    return log.withColumn("place", F.row_number().over(W.partitionBy("record_id").orderBy("created", "id")).cast("long"))
+
+
 def rollup(log: DataFrame, by: str = "kind") -> DataFrame:
     """n, first and last time of each kind."""
     return log.groupBy(by).agg(F.count("*").alias("n"), F.min("created").alias("first"), F.max("created").alias("last"))

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import WHITE
+from . import readable
 
 _TRIM = f"^{WHITE}+|{WHITE}+$"
-#: Lines that are never running heads: headings, images, list items, table rows.
-_KEEP = r"^(?:#{1,6}\s+.+|!\[[^\]]*\]\(.+\)|[-*+]\s+.*|[0-9]+[.)]\s+.*|\|.*\|)$"
-_EDGE_A, _EDGE_B = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", newline: str = "\r?\n") -> DataFrame:
@@ -38,9 +36,14 @@ def search_counts(docs: DataFrame, keyword: str, key: str = "doc_id", text: str
 
 def diff(a: DataFrame, b: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Positional line differences of two versions: key, line_no, old_line, new_line (null: no such line)."""
-    left = lines(a, key, text, "\n").withColumnRenamed("line", "old_line")
-    right = lines(b, key, text, "\n").withColumnRenamed("line", "new_line")
-    return left.join(right, [key, "line_no"], "full_outer").filter(~F.col("old_line").eqNullSafe(F.col("new_line")))
+    old = a.select(F.col(key), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("old_line"))
+    new = b.select(F.col(key), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("new_line"))
+    # documents meet once by their key; their lines are paired inside
+    d = old.join(new, key, "full_outer")
+    none = F.array().cast("array<string>")
+    pairs = F.arrays_zip(F.coalesce("old_line", none).alias("old_line"), F.coalesce("new_line", none).alias("new_line"))
+    d = d.select(key, F.posexplode(pairs).alias("i", "x")).filter(~F.col("x.old_line").eqNullSafe(F.col("x.new_line")))
+    return d.select(key, (F.col("i") + 1).cast("long").alias("line_no"), "x.old_line", "x.new_line")
 
 
 def diff_lines(d: DataFrame) -> DataFrame:
@@ -53,30 +56,30 @@ def diff_lines(d: DataFrame) -> DataFrame:
 
 
 def noise_key(line: Column) -> Column:
-    """What a running head or foot looks like with its page numbers removed; empty for other lines."""
+    """:func:`readable.noise_key` as a Column."""
     t = F.regexp_replace(line, _TRIM, "")
     k = F.lower(t)
-    steps = (
-        (rf"{_EDGE_A}page\s+[0-9]{{1,5}}\s*(?:of|/)\s*[0-9]{{1,5}}{_EDGE_B}", "page #"),
-        (rf"{_EDGE_A}page\s+[0-9]{{1,5}}{_EDGE_B}", "page #"),
-        (rf"{_EDGE_A}[0-9]{{1,5}}\s*(?:of|/)\s*[0-9]{{1,5}}{_EDGE_B}", "#"),
-        (rf"{_EDGE_A}[0-9]{{1,5}}{_EDGE_B}", "#"),
-        (f"{WHITE}+", " "),
-    )
-    for pattern, to in steps:
+    for pattern, to in readable.NUMBERS:
         k = F.regexp_replace(k, pattern, to)
     n = F.length(t)
-    return F.when((n < 4) | (n > 90) | t.rlike(_KEEP), F.lit("")).otherwise(F.trim(k))
+    apart = t.rlike("(?s)^(?:" + "|".join(readable.NOT_REPEATED) + r")\z")
+    return F.when((n < readable.SHORTEST_HEAD) | (n > readable.LONGEST_HEAD) | apart, F.lit("")).otherwise(F.trim(F.regexp_replace(k, f"{WHITE}+", " ")))
 
 
 def without_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The lines that are no running heads: those whose key stands less than max(4, lines / 90) times."""
-    d = lines(docs, key, text, "\n").withColumn("k", noise_key(F.col("line")))
-    # counts of keys, not windows over whole documents, so a very long document stays spread
-    n = d.groupBy(key).agg(F.count("*").alias("n"))
-    c = d.filter("k <> ''").groupBy(key, "k").agg(F.count("*").alias("c")).join(n, key)
-    drop = c.filter(F.col("c") >= F.greatest(F.lit(4), F.floor(F.col("n") / 90))).select(key, "k")
-    return d.join(drop, [key, "k"], "left_anti").select(key, "line_no", "line")
+    """The lines that are no running heads: those whose key stands less than max(4, lines / 90) times.
+
+    A document's lines stay together in one array, so nothing is shuffled: its keys are sorted, and those
+    that have their equal that many places on are running heads.
+    """
+    all_ = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    d = docs.select(F.col(key).alias("_id"), all_.alias("l"))
+    d = d.withColumn("k", F.transform("l", noise_key)).withColumn("most", F.greatest(F.lit(4), F.floor(F.size("l") / 90)).cast("int"))
+    d = d.withColumn("s", F.array_sort(F.filter("k", lambda x: x != "")))
+    ahead = F.transform("s", lambda x, i: F.when(F.get("s", i + F.col("most") - 1) == x, x))
+    d = d.withColumn("heads", F.array_distinct(F.array_compact(ahead)))
+    kept = F.filter(F.transform(F.arrays_zip("l", "k"), lambda x, i: F.struct((i + 1).cast("long").alias("no"), x["l"].alias("line"), x["k"].alias("k"))), lambda x: ~F.array_contains(F.col("heads"), x["k"]))
+    return d.select("_id", F.explode(kept).alias("x")).select(F.col("_id").alias(key), F.col("x.no").alias("line_no"), "x.line")
 
 
 def page_noise(line: Column) -> Column:

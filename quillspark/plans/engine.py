@@ -77,9 +77,16 @@ class Engine:
         return self.by_name[name]
 
     def plan(self, query: str | Select, limit: int | None = None, unbounded: bool = False) -> DataFrame:
-        """The query as a DataFrame of at most its limit's rows; all of them if ``unbounded``."""
-        df, n = self._plan(parse(query) if isinstance(query, str) else query, limit)
-        return df if unbounded else df.limit(n)
+        """The query as a DataFrame of at most its limit's rows.
+
+        ``unbounded`` lifts the default and the greatest limit; one that the query or the caller gives stays.
+        """
+        q = parse(query) if isinstance(query, str) else query
+        df, n = self._plan(q, limit)
+        if not unbounded:
+            return df.limit(n)
+        given = q.limit if q.limit is not None else limit
+        return df if given is None else df.limit(given)
 
     def run(self, query: str, limit: int | None = None) -> Result:
         """The answer on the driver: bounded by the limit, with one row more read to see if it was cut."""

@@ -232,11 +232,6 @@ def _(spark, d):
     return lines.diff(a, a.withColumn("text", F.replace("text", F.lit("the"), F.lit("THE"))))
 
 
-@query("line_repeated_removed")
-def _(spark, d):
-    return lines.without_repeated(_t(spark, d, "documents"))
-
-
 @query("readable_view")
 def _(spark, d):
     return readable.readable_view(_t(spark, d, "documents"))
@@ -272,11 +267,12 @@ def _(spark, d):
 
 
 @query("pii_detector_counts", r"""select doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'))::bigint as emails,
-len(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b'))::bigint as ips from documents""")
+len(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b'))::bigint as ips,
+len(list_filter(list_transform(regexp_extract_all(text, '\b(?:[0-9]{13,19}|(?:[0-9]{4} ){3}[0-9]{4}(?: [0-9]{3})?)\b'), lambda x: replace(x, ' ', '')),
+  lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: case when (length(x) - i) % 2 = 0 then substr(x, i, 1)::int else (substr(x, i, 1)::int * 2) // 10 + (substr(x, i, 1)::int * 2) % 10 end)) % 10 = 0))::bigint as cards from documents""")
 def _(spark, d):
-    ip = r"(?<![A-Za-z0-9_])(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(?![A-Za-z0-9_])"
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return _t(spark, d, "documents").select("doc_id", n(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}").alias("emails"), n(ip).alias("ips"))
+    found = masking.detected(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", found["email"].alias("emails"), found["ip"].alias("ips"), found["cn_bank_card_luhn"].alias("cards"))
 
 
 @query("mask_documents")
@@ -327,9 +323,9 @@ def _(spark, d):
     return governance.rollup(_log(spark, d))
 
 
-@query("timeline_by_record", "select event_id::varchar as id, event_type as kind, ts as created, user_id::varchar as record_id from events where user_id = 7")
+@query("timeline_by_record", "select event_id::varchar as id, event_type as kind, ts as created, user_id::varchar as record_id, row_number() over (partition by user_id order by ts, event_id::varchar) as place from events")
 def _(spark, d):
-    return governance.timeline(_log(spark, d), "7")
+    return governance.placed(_log(spark, d))
 
 
 @query("job_status", "select user_id as job_id, arg_max(event_type, (ts, event_type)) as status, max(ts) as at from events group by user_id")
@@ -337,12 +333,15 @@ def _(spark, d):
     return governance.job_status(_t(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_type").alias("status")))
 
 
-@query("settings_redacted", "select user_id, case when event_type = 'click' then '[REDACTED]' else 'plain' end as token, 'http://h/?token=[REDACTED]&x=1' as url from events")
+@query("settings_redacted", """select event_id, case event_id % 4 when 0 then 'apiKey' when 1 then 'refresh_TOKEN' when 2 then 'name' else 'endpoint' end as key,
+case event_id % 4 when 0 then case when user_id % 2 = 0 then '' else '[REDACTED_SECRET]' end when 1 then case when user_id % 2 = 0 then '' else '[REDACTED_SECRET]' end when 2 then case when user_id % 2 = 0 then '' else 'http://h/?x=1' end
+else 'http://h/?token=[REDACTED_SECRET]&x=1&token=[REDACTED_SECRET]' end as value from events""")
 def _(spark, d):
-    secret = F.when(F.col("event_type") == "click", "api_key").otherwise("name")
-    m = F.create_map(secret, F.lit("plain"), F.lit("url"), F.lit("http://h/?token=abc&x=1"))
-    r = _t(spark, d, "events").select("user_id", exchange.redacted(m).alias("m"))
-    return r.select("user_id", F.coalesce(F.col("m")["api_key"], F.col("m")["name"]).alias("token"), F.col("m")["url"].alias("url"))
+    e = _t(spark, d, "events")
+    key = F.get(F.array(*map(F.lit, ("apiKey", "refresh_TOKEN", "name", "endpoint"))), (F.col("event_id") % 4).cast("int"))
+    value = F.when(key == "endpoint", "http://h/?token=abc&x=1&token=d#e").when(F.col("user_id") % 2 == 0, "").otherwise("http://h/?x=1")
+    r = e.select("event_id", F.explode(exchange.redacted(F.create_map(key, value))))
+    return r.select("event_id", "key", "value")
 
 
 @query("front_matter_field", "select doc_id, '\"' || lang || '\"' as lang from documents")
@@ -351,10 +350,19 @@ def _(spark, d):
     return _t(spark, d, "documents").select("doc_id", exchange.front_matter_field(t, "lang").alias("lang"))
 
 
-@query("provider_text", "select conv_id, turn, text from conversations")
+@query("provider_text", """select conv_id, turn, case turn % 7 when 0 then text when 1 then text || chr(10) || role || chr(10) || 'v' when 2 then 'plain' when 3 then '' when 4 then 'a' || chr(10) || text when 5 then text || chr(10) || role else '' end as text from conversations""")
 def _(spark, d):
-    shapes = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))))
-    body = shapes.otherwise(F.to_json(F.struct(F.lit("").alias("output_text"), F.array(F.struct("text")).alias("content"))))
+    s = F.struct
+    both = F.array(F.lit("x"))  # an answer may hold several layouts; the first that counts wins
+    message = lambda c: F.to_json(s(F.array(s(s(c.alias("content")).alias("message"), F.lit("plain").alias("text"))).alias("choices"), F.lit("out").alias("output_text"), both.alias("output")))
+    parts = F.concat(F.lit("["), F.to_json(s("text")), F.lit(',{"text":""},'), F.to_json(s(s(F.col("role").alias("value")).alias("text"))), F.lit(',"v",7]'))
+    listed = F.concat(F.lit('{"choices":[{"message":{"content":'), parts, F.lit("}}]}"))
+    output = F.concat(F.lit('{"output":[{"content":[{"text":"a"}]},{"content":['), F.to_json(s("text")), F.lit("]},{}]}"))
+    told = F.concat(F.lit('{"output":[],"candidates":[{"content":{"parts":['), F.to_json(s("text")), F.lit(',{"n":1}]}},{"content":{"parts":['), F.to_json(s(F.col("role").alias("text"))), F.lit("]}}]}"))
+    shapes = [message(F.col("text")), listed, message(F.lit("")), F.lit('{"choices":[{"text":""}],"output_text":"o"}'), output, told, F.lit("no json")]
+    body = shapes[6]
+    for i in range(6):
+        body = F.when(F.col("turn") % 7 == i, shapes[i]).otherwise(body)
     return _t(spark, d, "conversations").select("conv_id", "turn", exchange.provider_text(body).alias("text"))
 
 
@@ -369,10 +377,15 @@ def _(spark, d):
     return exchange.upserted(t, t.filter("id % 3 = 0").withColumn("name", F.lit("new")))
 
 
-@query("refresh_delta", "select doc_id, 0::bigint as headings_delta, 0::bigint as tables_delta, 2::bigint as chars_delta, true as changed from documents")
+@query("refresh_delta", r"""select doc_id, case when doc_id % 2 = 0 then 1 else 0 end::bigint as headings_delta, case when doc_id % 3 = 0 then 1 else 0 end::bigint as tables_delta,
+(case when doc_id % 2 = 0 then 4 else 0 end + case when doc_id % 3 = 0 then 12 else 0 end)::bigint as chars_delta, doc_id % 2 = 0 or doc_id % 3 = 0 as changed from documents""")
 def _(spark, d):
     def state(t):
         return t.select("doc_id", text.readable_stats("text")["headings"].alias("headings"), text.table_count("text").alias("tables"), F.length("text").cast("long").alias("chars"))
 
     a = _t(spark, d, "documents")
-    return exchange.refresh_delta(state(a), state(a.withColumn("text", F.concat("text", F.lit(" x")))))
+    more = F.concat(F.when(F.col("doc_id") % 2 == 0, "# H\n").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "|a|\n|---|\n\nx").otherwise(""), "text")
+    return exchange.refresh_delta(state(a), state(a.withColumn("text", more)))
+
+
+from . import queries_review as _review  # noqa: E402, F401  registers more queries

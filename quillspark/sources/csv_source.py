@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.coerce import js_num
 
@@ -45,20 +44,28 @@ def column_names(header: list[str]) -> list[str]:
     return out
 
 
+def split_cells(line: Column) -> Column:
+    """:func:`cells` as a Column: cells start at commas outside quotes, and quotes inside quotes are doubled."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',((?:[^",]++|"(?:[^"]|"")*+"?)*+)'), F.lit(1))
+    # every quote that is left when sections lose their ends is one of a pair
+    return F.transform(found, lambda c: F.replace(F.regexp_replace(c, r'"((?:[^"]|"")*+)"?', "$1"), F.lit('""'), F.lit('"')))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A file (or folder of files with one header line each) as string columns; missing cells are empty.
 
     Lines are split first and parsed alone, so the source stays splittable; interior blank lines
-    are rows of empty cells.
+    are rows of empty cells. A file's header is its first line with text; other lines like it are rows.
     """
-    raw = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
-    first = raw.filter(F.trim("value") != "").limit(1).collect()
+    raw = spark.read.text(path)
+    raw = raw.select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("no"))
+    # one row a file; numbers follow a file's order, and two scans of one plan number alike
+    heads = raw.filter(F.trim("value") != "").groupBy("file").agg(F.min("no").alias("no"), F.min_by("value", "no").alias("header"))
+    first = heads.orderBy("file").first()
     if not first:
         raise ValueError("csv_empty")
-    header = first[0][0]
-    names = column_names(cells(header))
-    split = F.udf(cells, T.ArrayType(T.StringType()), useArrow=True)
-    body = raw.filter(F.col("value") != header).select(split("value").alias("c"))
+    names = column_names(cells(first["header"]))
+    body = raw.join(heads.select("no"), "no", "left_anti").select(split_cells(F.col("value")).alias("c"))
     return body.select(*(F.coalesce(F.get("c", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 

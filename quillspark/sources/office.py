@@ -38,6 +38,11 @@ def _xml(z: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(raw)
 
 
+def xml_text(fragment: str) -> str:
+    """The text of a fragment of XML, its entities decoded."""
+    return "".join(ElementTree.fromstring(f"<t>{fragment}</t>").itertext())
+
+
 def _local(e) -> str:
     return e.tag.rpartition("}")[2]
 

@@ -137,6 +137,13 @@ def test_csv(spark, tmp_path):
     df = csv_source.read(spark, str(p))
     assert df.columns == ["name", "value", "value_2", "column_4"]
     assert [tuple(r) for r in df.collect()] == [("alpha", "bravo,charlie", 'doubled "quote"', ""), ("b", "2", "", "")]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many/a.csv").write_text("x,y\n1,2\nx,y\n\n")
+    (tmp_path / "many/b.csv").write_text("\nx,y\n3,\"4\n")
+    assert sorted(map(tuple, csv_source.read(spark, str(tmp_path / "many")).collect())) == [("", ""), ("", ""), ("1", "2"), ("3", "4"), ("x", "y")]
+    odd = ['a,"b,c",d""e,"f""g"', '"open,x', ",,", "", '""', '"a"b"c,"', 'x"y,z"w']
+    got = spark.createDataFrame([(x,) for x in odd], "l string").select("l", csv_source.split_cells(F.col("l")).alias("c")).collect()
+    assert {r["l"]: r["c"] for r in got} == {x: csv_source.cells(x) for x in odd}
     d = spark.createDataFrame([("1", "yes", "2024-01-02", "", "x"), ("0x1", "no", "2024-02-03", "", "2")], "n string, b string, d string, e string, s string")
     assert [(r["name"], r["type"]) for r in csv_source.infer_types(d).collect()] == [("n", "number"), ("b", "boolean"), ("d", "date"), ("e", "unknown"), ("s", "string")]
 
@@ -177,10 +184,12 @@ def test_exchange(spark):
     doc = exchange.exchange_markdown(fields, "Body", {"Query result": "| a |", "Audit": ""})
     back, rest = exchange.parse_front_matter(doc)
     assert back == fields and rest.strip() == "Body\n\n## Query result\n\n| a |"
-    assert exchange.settings_row({"default_query_limit": "20", "mask_before_send": "true"}) == {"default_query_limit": 20, "mask_before_send": True}
-    for bad in ({"x": 1}, {"policy_mode": "none"}, {"preview_rows": 0}):
-        with pytest.raises(ValueError):
+    row = exchange.settings_row({"defaultQueryLimit": "20", "preferNewVersionOnRefresh": "true"})
+    assert row["defaultQueryLimit"] == 20 and row["preferNewVersionOnRefresh"] is True and row["policyMode"] == "open-core" and len(row) == 8
+    for bad, code in (({"x": 1}, "invalid_setting_key"), ({"policyMode": "none"}, "invalid_setting_value"), ({"defaultQueryLimit": "many"}, "invalid_setting_value"), ({"defaultExportFormats": 3}, "invalid_setting_value")):
+        with pytest.raises(exchange.SettingError) as e:
             exchange.settings_row(bad)
+        assert e.value.code == code
     p = spark.createDataFrame([("a/.env",), ("b/key.pem",), ("c/notes.md",)], "path string")
     assert [r[0] for r in p.select(exchange.sensitive_path(F.col("path"))).collect()] == [True, True, False]
     rows = spark.createDataFrame([(1, ["b", "zz", "a"]), (2, [])], "id long, codes array<string>")
