@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import env_path, table
 
 #: Characters of text in a block; one longer document is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 FOLD_BYTES = 8192
 #: Buckets of the literal map, so that a lookup reads few entries.
 BUCKETS = 1 << 13
@@ -340,6 +340,8 @@ def encode(
             words, bucket = block.words, block.bucket
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)] if words else []
             rows = [(int(bucket[a]), _pack(np.array(list(map(len, words[a:b])), "<u4"), b"".join(words[a:b]))) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+            del block, words
+            pa.default_memory_pool().release_unused()
             if rows:
                 which, packed = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "packed"])
@@ -389,6 +391,8 @@ def encode(
         for number, ids, texts in _blocks(batches, block_chars):
             b = _Block(texts, known, base, buckets, findall)
             body = _pack(np.array([b.check()], "<u4"), b.counts.astype("<u8"), _planes(b.numbers))
+            del b
+            pa.default_memory_pool().release_unused()
             cols = [pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([body], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block", "docs", "body"])
 

@@ -5,8 +5,9 @@ noisy-or of its sentences, 1 - (1 - leak) * prod(1 - p). Weights are trained fro
 alone, on a bounded sample, and then point to the offending sentences.
 
 Defined cases: null and empty texts have no sentence and score ``leak``; null ids and repeated rows
-are scored like any other; without usable labels of both kinds every score is ``leak``; an empty
-table gives an empty result; labels, lang, source and ids are never inputs of a score.
+are scored like any other; very long texts are scored whole; without usable labels of both kinds every
+score is ``leak``; an empty table gives an empty result; columns but the id and the text (labels, lang,
+source, others of any name) are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled, table, training_sample
 
-#: Bounds of the training sample (labelled rows, characters) and of the feature list.
-MAX_ROWS, MAX_CHARS, MAX_FEATURES = 8_000, 10_000_000, 60_000
+#: Bounds of the training sample: labelled rows and characters. A text's features are bounded by them.
+MAX_ROWS, MAX_CHARS = 8_000, 10_000_000
+#: Documents of this score or more are called toxic, and sentences of this probability offending.
+CUT = 0.3
 #: A feature's least number of documents, and how far (in standard deviations) it must lean to the label.
 MIN_DOCS, MIN_Z = 3, 3.0
 LEAK = 0.02
@@ -48,7 +51,7 @@ def bag(text: str) -> list[list[str]]:
     return [s for s in out if s]
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 200, rate: float = 0.08, l2: float = 1e-4, l1: float = 2e-4, leak: float = LEAK) -> dict:
+def train(sample: list[tuple[str, int]], epochs: int = 200, rate: float = 0.08, l2: float = 1e-5, l1: float = 2e-5, leak: float = LEAK) -> dict:
     """Weights by feature, bias and leak, by full-batch Adam on the noisy-or's likelihood."""
     none = {"bias": -50.0, "leak": leak, "weights": {}}
     y = np.array([v for _, v in sample], np.float64)
@@ -65,7 +68,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 200, rate: float = 0.08,
     rate1 = y.mean()
     # a bag is positive for what it holds, so only features found there beyond chance can matter
     z = {f: (hot[f] - n * rate1) / np.sqrt(n * rate1 * (1 - rate1)) for f, n in seen.items() if n >= MIN_DOCS}
-    chosen = sorted((f for f in z if z[f] >= MIN_Z), key=lambda f: (-z[f], f))[:MAX_FEATURES]
+    chosen = sorted((f for f in z if z[f] >= MIN_Z), key=lambda f: (-z[f], f))
     index = {f: i for i, f in enumerate(chosen)}
     col, row, doc = [], [], []
     for d, b in enumerate(bags):
@@ -91,6 +94,14 @@ def train(sample: list[tuple[str, int]], epochs: int = 200, rate: float = 0.08,
         a, b2 = 1 - 0.9**step, 1 - 0.999**step
         w = np.maximum(w - rate * (mw / a) / (np.sqrt(vw / b2) + 1e-8), 0)
         bias -= rate * (mb / a) / (np.sqrt(vb / b2) + 1e-8)
+    # the bias moves up as long as the cut then parts the training documents better
+    x = np.bincount(row, w[col], n)
+    best = (-1.0, bias)
+    for shift in np.linspace(0, 2, 9):
+        odds = np.logaddexp(0, np.clip(x + bias + shift, -50, 50))
+        hit = -np.expm1(np.log1p(-leak) - np.bincount(doc, odds, m)) >= CUT
+        best = max(best, (hit[y == 1].mean() - hit[y == 0].mean(), -abs(shift), bias + shift)[::2], key=lambda b: b[0])
+    bias = best[1]
     return {"bias": float(bias), "leak": leak, "weights": {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}}
 
 
@@ -132,9 +143,15 @@ def noisy_or(logits: np.ndarray, leak: float) -> float:
     return float(-np.expm1(np.log1p(-leak) - np.logaddexp(0, np.clip(logits, -50, 50)).sum()))
 
 
+def offending(logits: np.ndarray, score: float) -> np.ndarray:
+    """Numbers of the sentences at CUT or more; the likeliest one of a toxic document that has none."""
+    hot = np.flatnonzero(logits >= np.log(CUT / (1 - CUT)))
+    return hot if len(hot) or score < CUT or not len(logits) else np.array([int(np.argmax(logits))])
+
+
 def score(spark: SparkSession, docs: DataFrame, model: dict, located: bool = True) -> DataFrame:
-    """doc_id, score, n_offending and offending (text and probability of sentences at 0.5 or more)."""
-    sent = spark.sparkContext.broadcast(model)  # bounded by MAX_FEATURES
+    """doc_id, score, n_offending and offending (text and probability of those sentences)."""
+    sent = spark.sparkContext.broadcast(model)  # bounded by the sample's bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -143,8 +160,8 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, located: bool = Tru
             scores, counts, found = [], [], []
             for t in b.column(1).to_pylist():
                 x = _logits(t or "", known, bias)
-                hot = np.flatnonzero(x >= 0)
                 scores.append(min(max(noisy_or(x, leak), 0.0), 1.0))
+                hot = offending(x, scores[-1])
                 counts.append(len(hot))
                 found.append(_locate(t, hot, x) if located and len(hot) else [])
             cols = [b.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())]
@@ -170,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, labelled(spark, sf_dir, "toxic"))
-    scored = score(spark, docs, model, located=False)
+    scored = score(spark, docs, model)
     return scored.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_offending"
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "n_offending", "offending"
     )
