@@ -164,7 +164,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError("the keys find pairs of up to three differing bits")
     one = keyed(fps, False).toDF("key", "a")
     all_ = keyed(fps, True).toDF("key", "b")
-    met = one.join(all_, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    # sizes are estimated before a fingerprint becomes its many keys, so a broadcast must not be chosen by them
+    met = one.hint("merge").join(all_, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return met.select("a", "b").distinct()
 
 

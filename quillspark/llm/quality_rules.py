@@ -6,14 +6,14 @@ n-gram, and it is kept if the base rules pass and the score reaches a fixed thre
 
 Defined cases: a null text has no words; a text without n-grams scores 0; null ids are kept and
 never trusted; repeated rows are each scored (and each counted); an empty table gives an empty
-result; columns of the input other than the id and the text are ignored.
+result; columns of the input other than the id and the text, whatever their names, are ignored; very
+long texts are counted whole; a score equal to the threshold is kept.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 from .common import labelled, table
 
 SPACE = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 15
+#: Buckets of the counts. The model folds them to a power of two that is at least the n-grams by GRAMS
+#: (up to all of them), so that its table grows with the corpus and yet has a bound.
+BUCKETS, LEAST_BUCKETS, GRAMS = 1 << 17, 1 << 10, 64
 #: Pseudo-counts a bucket that draw the trusted model towards the raw one.
 PRIOR = 2.0
-THRESHOLD = -0.25
-ORDERS = (1,)
+#: Chosen on training labels, by which it parts good and bad documents best.
+THRESHOLD = -0.08
+#: n-grams are words and pairs of words.
+ORDERS = (1, 2)
 #: Trusted ids that one pass broadcasts; more of them take more passes, none is left out.
 BLOCK_IDS = 1_000_000
 
@@ -132,21 +136,36 @@ def bucket_counts(
     ids = trusted.select("doc_id").filter("doc_id is not null").distinct()
     blocks = max(1, math.ceil(ids.count() / block_ids))
 
-    def counted(d: DataFrame, name: str) -> DataFrame:
+    def grams(d: DataFrame, *keep: str) -> DataFrame:
         if orders == (1,):
-            grams = d.select(F.explode(F.expr(_words("text"))).alias("x")).filter("x <> ''")
-            grams = grams.select(F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int").alias("b"))
-        else:
-            h = with_words(d).select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-            grams = h.select(F.explode(_buckets("h", orders, buckets)).alias("b"))
-        return grams.groupBy("b").agg(F.count("*").alias(name))
+            g = d.select(F.explode(F.expr(_words("text"))).alias("x"), *keep).filter("x <> ''")
+            return g.select(F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int").alias("b"), *keep)
+        w = d.select(F.filter(F.expr(_words("text")), lambda x: x != "").alias("w"), *keep)
+        h = w.select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"), *keep)
+        return h.select(F.explode(_buckets("h", orders, buckets)).alias("b"), *keep)
 
-    # the blocks' bound makes each broadcast safe; no text is shuffled
+    # the blocks' bound makes each broadcast safe; no text is shuffled. The first pass counts both sides
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
-    parts = [docs.join(F.broadcast(ids.filter(block == k)), "doc_id", "left_semi") for k in range(blocks)]
-    target = reduce(DataFrame.unionAll, (counted(part, "target") for part in parts))
-    target = target.groupBy("b").agg(F.sum("target").alias("target")) if blocks > 1 else target
-    return counted(docs, "raw").join(target, "b", "left").select("b", "raw", F.coalesce("target", F.lit(0)).alias("target"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids.filter(block == 0).select(F.col("doc_id").alias("good"))), F.col("doc_id") == F.col("good"), "left")
+    first = grams(marked.withColumn("trusted", F.col("good").isNotNull()), "trusted")
+    counted = first.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
+    for k in range(1, blocks):
+        part = grams(docs.join(F.broadcast(ids.filter(block == k)), "doc_id", "left_semi").select("text"))
+        counted = counted.unionAll(part.groupBy("b").agg(F.lit(0).cast("long").alias("raw"), F.count("*").alias("target")))
+    return counted.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")) if blocks > 1 else counted
+
+
+def folded(counts: list[tuple[int, int, int]], buckets: int = BUCKETS, least: int = LEAST_BUCKETS, grams: int = GRAMS) -> tuple[list[tuple[int, int, int]], int]:
+    """The counts in the buckets that the corpus fills, and how many those are."""
+    n = least
+    while n < buckets and n * grams < sum(r for _, r, _ in counts):
+        n *= 2
+    n = min(n, buckets)
+    raw, target = [0] * n, [0] * n
+    for b, r, t in counts:
+        raw[b % n] += r
+        target[b % n] += t
+    return [(b, r, t) for b, (r, t) in enumerate(zip(raw, target, strict=True)) if r], n
 
 
 def log_ratios(counts: list[tuple[int, int, int]], buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
@@ -157,7 +176,7 @@ def log_ratios(counts: list[tuple[int, int, int]], buckets: int = BUCKETS, prior
     for b, r, t in counts:
         p = r / raw_all
         q = (t + prior * buckets * p) / (target_all + prior * buckets)
-        out[b] = round(math.log(q / p), 6)
+        out[b] = round(math.log(q / p), 4)
     return out
 
 
@@ -171,7 +190,7 @@ def judge(
 ) -> DataFrame:
     """Base counts, verdict, llr score and row (the input's) of every row of ``docs`` (doc_id, text)."""
     # bounded by ``buckets``, whatever the corpus: a literal array of as many doubles
-    counts = [tuple(r) for r in bucket_counts(docs, trusted, orders, buckets).collect()]
+    counts, buckets = folded([tuple(r) for r in bucket_counts(docs, trusted, orders, buckets).collect()], buckets)
     ratios = F.from_json(F.lit(json.dumps(log_ratios(counts, buckets))), "array<double>")
     d = base_counts(docs).withColumn("ng", _buckets("h", orders, buckets))
     total = F.aggregate("ng", F.lit(0.0), lambda a, b: a + F.get(ratios, b))

@@ -50,12 +50,41 @@ def test_llr(spark, orders):
     assert out[200]["base_failed"] and out[200]["llr"] == 0 and out[200]["n_words"] == 0
     assert quality_rules.judge(spark, docs, trusted, orders=orders, buckets=512).filter("kept").count() == 60  # a filter above stays cheap
     if orders == (1,):
-        counts = {r["b"]: (r["raw"], r["target"]) for r in quality_rules.bucket_counts(docs, trusted, buckets=512).collect()}
+        counts = {r["b"]: (r["raw"], r["target"]) for r in quality_rules.bucket_counts(docs, trusted, (1,), 512).collect()}
         n = sum(len((t or "").split()) for _, t in pairs(docs))
         assert sum(a for a, _ in counts.values()) == n and sum(b for _, b in counts.values()) == 30 * 80
     assert quality_rules.judge(spark, docs.limit(0), trusted.limit(0), orders=orders, buckets=512).count() == 0
 
 
+def test_llr_by_brute_force(spark, nasty):
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    seeded = lambda h, seed: xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+    trusted = spark.createDataFrame([(1,), (8,), (12,), (None,)], "doc_id long")
+
+    def grams(t, n):
+        h = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        return [x % n for x in h] + [signed(seeded(b, seeded(a, 42))) % n for a, b in zip(h, h[1:])]  # noqa: B905
+
+    rows = pairs(nasty)
+    total = sum(len(grams(t, 8)) for _, t in rows)
+    n = 1024
+    while n < quality_rules.BUCKETS and n * quality_rules.GRAMS < total:
+        n *= 2
+    raw = Counter(g for _, t in rows for g in grams(t, n))
+    good = Counter(g for d, t in rows if d in (1, 8, 12) for g in grams(t, n))
+    ratio = {}
+    for b, r in raw.items():
+        p = r / total
+        ratio[b] = round(math.log((good[b] + quality_rules.PRIOR * n * p) / (sum(good.values()) + quality_rules.PRIOR * n) / p), 4)
+    want = Counter((d, round(sum(map(ratio.get, g)) / len(g), 6) if g else 0.0) for d, t in rows for g in [grams(t, n)])
+    got = quality_rules.judge(spark, nasty, trusted).collect()
+    assert Counter((r["doc_id"], round(r["llr"], 6)) for r in got) == want
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= quality_rules.THRESHOLD) for r in got)
+
+
 def test_near_dedup(spark, nasty, nothing):
     got = near_dedup.near_duplicates(spark, nasty).collect()
     rows = pairs(nasty)

@@ -12,4 +12,4 @@ def test_every_trusted_document_is_counted(spark, block_ids):
     trusted = spark.range(n).toDF("doc_id")
     more = {} if block_ids is None else {"block_ids": block_ids}
     got = quality_rules.bucket_counts(docs, trusted, buckets=512, **more).collect()
-    assert sum(r["raw"] for r in got) == 2 * n and all(r["raw"] == r["target"] for r in got)
+    assert sum(r["raw"] for r in got) == 3 * n and all(r["raw"] == r["target"] for r in got)
