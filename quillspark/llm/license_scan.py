@@ -3,12 +3,13 @@
 Blocks are a document's lines. A template is found in a block that contains at least ``share`` of
 its distinct words. The join follows from the usual filters, none of which loses a match:
 
-* prefix: with a template's words ordered from the rarest in the corpus up, a match must hold one
-  of the first size - need + 1 of them, so documents without any such word are never cut into
-  lines, and lines meet templates by an equi-join on those words;
-* length: the block must have at least ``need`` distinct words;
-* position: a match on the template's i-th word must leave at least ``need`` words from there on
-  for the pair's first common word; pairs failing that are dropped before they are verified.
+* prefix: words are ordered by their frequency in the corpus, the rarest first, in templates and in
+  blocks (a block's words that are in no template never count). A match must hold one of a template's first
+  size - need + 1 words among the block's first n - need + 1, so documents without any such word are
+  never cut into lines, and lines meet templates by an equi-join on those words;
+* length: the block must have at least ``need`` distinct words of templates;
+* position: a match whose first common word is the template's i-th and the block's j-th must leave at
+  least ``need`` words from there on in both; pairs failing that are dropped before they are verified.
 
 Word frequencies are counted over all documents.
 
@@ -18,7 +19,8 @@ many consecutive words as the template has, divided by ``share`` (room for words
 of these are compared, with every place of the span in them. A label found only so counts as one block.
 
 Defined cases: null counts as empty (no words, no labels, score 0); null ids and repeated rows are
-kept; wholly equal rows get equal results; an empty table gives an empty result; extra columns are
+kept; wholly equal rows get equal results; very long texts are read whole; words of equal frequency are
+ordered by themselves; an empty table gives an empty result; extra columns, whatever their names, are
 ignored.
 """
 
@@ -72,15 +74,18 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     return {r["w"]: r["n"] for r in own.groupBy("w").agg(F.count("*").alias("n")).collect()}  # the templates' words
 
 
-def matches(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
-    """(doc_id, th, line, label, containment): every block that reaches a template's share.
+def prefix_pairs(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+    """Lines and templates that share a word of both prefixes, with its place in each (i, j) and all their words.
 
-    ``docs`` has doc_id and text; th is the text's hash, which with the id names the document.
+    ``docs`` has doc_id and text; th is the text's hash, which with the id names the document. A line's
+    words are those of any template, from the rarest in the corpus up, like a template's.
     """
-    rows = template_rows(frequencies(docs, templates), templates, share)
+    frequency = frequencies(docs, templates)
+    rows = template_rows(frequency, templates, share)
     prefix = [(w, label, i, size, need, words) for label, words, size, need, k in rows for i, w in enumerate(words[:k])]
     index = spark.createDataFrame(prefix, "w string, label string, i int, size int, need int, words array<string>")
     rare = F.array(*(F.lit(w) for w in sorted({p[0] for p in prefix})))
+    order = sorted({w for r in rows for w in r[1]}, key=lambda w: (frequency.get(w, 0), w))
     near = docs.filter(F.arrays_overlap(_split(F.lower("text")), rare))
     lines = near.select(
         "doc_id",
@@ -88,14 +93,25 @@ def matches(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: fl
         F.posexplode(F.split(F.translate("text", UPPER, LOWER), "\n")).alias("line", "block"),
     )
     least = min(r[3] for r in rows)
-    blocks = lines.select("doc_id", "th", "line", F.array_remove(F.array_distinct(_split(F.col("block"))), "").alias("tokens"))
+    blocks = lines.select("doc_id", "th", "line", F.array_intersect(F.array(*map(F.lit, order)), _split(F.col("block"))).alias("tokens"))
     blocks = blocks.filter(F.size("tokens") >= least)
-    # a line brings only its rare words to the join
-    met = blocks.select("*", F.explode(F.array_intersect("tokens", rare)).alias("w")).join(F.broadcast(index), "w")
-    met = met.filter((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("i") >= F.col("need")))
+    # a line brings only the words of its prefix to the join
+    brought = F.slice("tokens", F.lit(1), F.size("tokens") - (least - 1))
+    return blocks.select("*", F.posexplode(brought).alias("j", "w")).join(F.broadcast(index), "w")
+
+
+def may_match():
+    """Length and position: both sides must have enough words, and enough of them from their first common word on."""
+    n = F.size("tokens")
+    return (n >= F.col("need")) & (F.least(F.col("size") - F.col("i"), n - F.col("j")) >= F.col("need"))
+
+
+def matches(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+    """(doc_id, th, line, label, containment): every block that reaches a template's share."""
+    met = prefix_pairs(spark, docs, templates, share).filter(may_match())
     # the first common word alone carries a pair on, so each pair is verified once
-    first = F.element_at(F.array_intersect("words", "tokens"), 1) == F.col("w")
-    met = met.filter(first).withColumn("common", F.size(F.array_intersect("words", "tokens")))
+    common = F.array_intersect("words", "tokens")
+    met = met.filter(F.element_at(common, 1) == F.col("w")).withColumn("common", F.size(common))
     return met.filter("common >= need").select("doc_id", "th", "line", "label", (F.col("common") / F.col("size")).alias("containment"))
 
 

@@ -10,7 +10,9 @@ a repeated task writes another bundle and only the one that the index names is e
 
 Defined cases: null html is an empty payload; a null URL becomes an empty target; a null page id is
 no target of a revisit and never the largest; repeated rows with the largest id are all responses;
-an empty table writes nothing and gives an empty result; extra columns are ignored.
+an empty table writes nothing and gives an empty result; extra columns, whatever their names, are
+ignored; a payload longer than a frame has a frame of its own. Rows that share a page id share a
+record id; the index holds an entry, and so an offset, for each.
 """
 
 from __future__ import annotations
@@ -30,19 +32,30 @@ from .common import new_path, table, written
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
 LEAST = 1000
+#: Groups of equal payloads up to this number are broadcast.
+FEW = 500_000
 DATE = "1970-01-01T00:00:00Z"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
-def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, payload, sha1, refers_to): refers_to is the response's id for revisits, else null."""
+def roles(pages: DataFrame, least: int = LEAST, few: int = FEW) -> DataFrame:
+    """(page_id, url, payload, sha1, refers_to): refers_to is the response's id for revisits, else null.
+
+    Only digests and ids are grouped. Up to ``few`` groups of equal payloads are broadcast, so no
+    payload is shuffled; of more, the long payloads alone meet them by a shuffle.
+    """
+    spark = pages.sparkSession
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("sha1", F.sha1("payload"))
-    long = p.filter(F.octet_length("payload") >= least)
-    # only digests and ids are grouped; groups of one need no join partner
-    first = long.groupBy("sha1").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null")
-    d = p.join(first.drop("n"), "sha1", "left")
-    again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (F.octet_length("payload") >= least)
+    is_long = F.octet_length("payload") >= least
+    first = p.filter(is_long).groupBy(F.col("sha1").alias("same")).agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    first = written(spark, first.filter("n > 1 and top is not null").drop("n"), "responses")
+    if first.count() <= few:
+        d = p.join(F.broadcast(first), (F.col("sha1") == F.col("same")) & is_long, "left")
+    else:
+        d = p.filter(is_long).join(first, F.col("sha1") == F.col("same"), "left")
+        d = d.unionByName(p.filter(~is_long).withColumns({"same": F.lit(None).cast("string"), "top": F.lit(None).cast("long")}))
+    again = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return d.select("page_id", "url", "payload", "sha1", F.when(again, F.col("top")).alias("refers_to"))
 
 

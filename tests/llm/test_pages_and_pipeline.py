@@ -43,27 +43,61 @@ def test_url_model(spark):
     assert {r["verdict"] for r in url_filter.judge(spark, pages(spark, fresh)).collect()} == {"allow"}
 
 
-def test_url_counts_and_likelihood_by_definition(spark):
-    urls = ["http://ab.com/", "é", ""]
-    tables = url_filter.counts(spark.createDataFrame([(u, 0) for u in urls], "url string, y int"))
-    n = sum(len(u.encode()) for u in urls)
-    assert all(tables[0, k, o].sum() == n for k in (0, 1) for o in range(url_filter.ORDERS)) and not tables[1].any()
-    c, g, row = url_filter._slots(urls)
-    want = np.zeros(len(urls))
-    for i in range(n):
-        p = 1 / 256
-        for o in range(url_filter.ORDERS):
-            p = (tables[0, 1, o][g[o, i]] + url_filter.BACK_OFF * p) / (tables[0, 0, o][c[o, i]] + url_filter.BACK_OFF)
-        want[row[i]] += np.log(min(p, 1))
-    assert np.allclose(url_filter.log_likelihoods(urls, tables)[0][0], want)
+@pytest.mark.parametrize("max_grams", [url_filter.MAX_GRAMS, 40])
+def test_url_model_by_brute_force(spark, max_grams):
+    good, bad = ["http://ab.com/", "é\U0001F642x", "", "http://abc.com/ab"], ["http://q.net/es/11", "", "x://q.net/"]
+    rows = [(u, 0) for u in good] + [(u, 1) for u in bad]
+    model = url_filter.fitted(spark, spark.createDataFrame(rows, "url string, y int"), max_grams)
+    n = [Counter(), Counter()]
+    for u, y in rows:
+        padded = "\0\0\0" + u
+        n[y].update((k, padded[i + 3 - k : i + 3], c) for i, c in enumerate(u) for k in range(4))
+    total = [Counter(), Counter()]
+    for y in (0, 1):
+        for (k, c, _), v in n[y].items():
+            total[y][k, c] += v
+    every = total[0] + total[1]
+    size = lambda least: len({g for y in (0, 1) for g in n[y] if every[g[:2]] >= least})
+    least = 1
+    while size(least) > max_grams and least * 2 <= max(every.values()):
+        least *= 2
+    assert (least > 1) == (max_grams == 40) and sum(len(o[0]) for o in model.orders) == size(least)
+    ask = ["http://ab.com/", "http://q.org/ab", "zz", "\U0001F600é", ""]
+    got, length = url_filter.log_likelihoods(ask, model)
+    for i, u in enumerate(ask):
+        for y in (0, 1):
+            ll, padded = 0.0, "\0\0\0" + u
+            for j, c in enumerate(u):
+                p = 1 / 65536
+                for k in range(4):
+                    h = k, padded[j + 3 - k : j + 3]
+                    h = k, "".join(x if x < "\uffff" else "\U0001F642" for x in h[1])
+                    c2 = c if c < "\uffff" else "\U0001F642"
+                    if every[h] >= least and total[y][h]:
+                        t = len({x for x in n[y] if x[:2] == h})
+                        p = (n[y][(*h, c2)] + t * p) / (total[y][h] + t)
+                ll += np.log(p)
+            assert abs(got[y, i] - ll) < 1e-9 and length[i] == len(u)
+
+
+def test_cut_off_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        bins = [(int(b), y, 1) for y in (0, 1) for b in rng.integers(-8, 8, 6) - 5 * y]
+        cut = round(url_filter.least_error(bins) / url_filter.BIN)
+        error = lambda at: sum(y == 0 and b < at for b, y, _ in bins) + sum(y == 1 and b >= at for b, y, _ in bins)  # noqa: E731, B023
+        assert error(cut) == min(map(error, range(-20, 20)))
+    assert url_filter.least_error([(3, 0, 5)]) == 0.0
 
 
 def test_warc(spark, tmp_path):
     big, other = "<p>" + "é" * 700, "x" * 999
     rows = [(1, "http://a/", big), (2, None, big), (3, "u\r\nv", big), (4, "b", other), (5, "b", other), (6, "c", None), (7, "", ""), (None, "n", big), (8, "r", "y" * 5000), (8, "r", "y" * 5000), (9, "z", "z\r\n\r\nWARC/1.1\r\n" * 90000)]
     df = pages(spark, rows)
+    by_shuffle = warc.read(warc.write(spark, warc.roles(df, few=0))).collect()
     index = warc.write(spark, warc.roles(df), f"file://{tmp_path}/w", bundle_bytes=2000)
     got = warc.read(index, payloads=True).collect()
+    assert Counter(map(tuple, by_shuffle)) == Counter(tuple(r)[:5] for r in got)
     want = Counter()
     for p, _, h in rows:
         b = (h or "").encode()

@@ -20,3 +20,19 @@ def test_wrapped_notices_are_found(spark, tmp_path):
         assert label in got[d]["labels"].split(",") and got[d]["score"] == 1.0 and got[d]["n_blocks"] >= 1
     for d, labels, n in ((900, "", 0), (901, "", 0), (902, "", 0), (None, "mit-notice", 1), (903, "mit-notice", 1)):
         assert (got[d]["labels"], got[d]["n_blocks"]) == (labels, n)
+
+
+def test_position_filter_drops_pairs_but_no_match(spark):
+    import random
+
+    r = random.Random(8)
+    words = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    lines = [" ".join(r.sample(words, r.randrange(4, 20))) for _ in range(300)]
+    lines += [" ".join(r.sample(t.split(), len(t.split()))) for _, t in license_scan.TEMPLATES]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    pairs = license_scan.prefix_pairs(spark, docs)
+    n, kept = pairs.count(), pairs.filter(license_scan.may_match()).count()
+    assert 0 < kept < n
+    got = {(x["doc_id"], x["label"]) for x in license_scan.matches(spark, docs).collect()}
+    want = {(i, label) for i, x in enumerate(lines) for label, t in license_scan.TEMPLATES if len(set(x.split()) & set(t.split())) >= 0.8 * len(set(t.split()))}
+    assert got == want and len(want) >= len(license_scan.TEMPLATES)
