@@ -11,7 +11,7 @@ from .plans import jobs, parser, render
 from .plans.engine import Engine
 from .plans.errors import QueryError
 from .queries import _LINES, _SIGNALS, _t, dialect, query
-from .sources import csv_source, office
+from .sources import csv_source, office, sheet_table
 
 dialect("sql_limit_unbounded", "orders", "select o_orderkey from orders order by o_orderkey limit 3", "select o_orderkey from orders order by o_orderkey limit 3")
 dialect("sql_join_wildcard", "nation region", "select * from nation join region on n_regionkey = r_regionkey", 'select n.n_nationkey as "nation.n_nationkey", n.n_name as "nation.n_name", n.n_regionkey as "nation.n_regionkey", r.r_regionkey as "region.r_regionkey", r.r_name as "region.r_name", n.*, r.* from nation n join region r on n_regionkey = r_regionkey')
@@ -376,3 +376,53 @@ def _(spark, d):
 def _(spark, d):
     r = _t(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("batch_index")).distinct()
     return chunks.transition(r.withColumn("status", F.lit("planned")), r.filter("batch_index % 2 = 0").withColumn("status", F.lit(" Sent ")))
+
+
+# Fixed examples: sheets as grids, their columns, and their first row with text below the header.
+_SHEETS = [
+    ([["COOPERATION"], [], ["Table description"], ["Q", "P", "Π"], [], ["0", "45", "0"], ["5", "44", "195"]], "Q,P,Π", "0,45,0", 2),
+    ([["Q", "P"], ["0", "45", "", "", "498"]], "Q,P,column_3,column_4,column_5", "0,45,,,498", 0),
+    ([["", "0", "10", "Summary"], ["QA", "0", "0", "100"], ["10", "280", "520", "90"]], "QA,0,10,Summary", ",0,0,100", 0),
+    ([["", "name", "n"], ["", "a", "1"]], "name,n", "a,1", 0),
+    ([["10", "", "20"], ["x", "y", "z"], ["1", "2", "3"]], "x,y,z", "1,2,3", 1),
+    ([["cost", "", "note"], ["5", "7", "t"]], "cost,cost value,note", "5,7,t", 0),
+    ([["item", "given x", ""], ["a", "", "3"], ["b", "", "4"]], "item,column_2,given x", "a,,3", 0),
+]
+
+
+@query("xlsx_header", _values([(i, a, b, n) for i, (_, a, b, n) in enumerate(_SHEETS)], "id, names, first, preamble"))
+def _(spark, d):
+    rows = []
+    for i, (grid, *_) in enumerate(_SHEETS):
+        t = sheet_table.table(grid)
+        rows.append((i, ",".join(t.names), ",".join(t.rows[0][1]), len(t.preamble)))
+    return spark.createDataFrame(rows, "id int, names string, first string, preamble int")
+
+
+def _pdf(content: bytes, table: bytes = b"") -> bytes:
+    """A file of one page with a font F1, its content compressed."""
+    import zlib
+
+    packed = zlib.compress(content)
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica" + (b" /ToUnicode 6 0 R" if table else b"") + b" >>"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream", font,
+    ]
+    objects += [b"<< /Length %d >>\nstream\n" % len(table) + table + b"\nendstream"] if table else []
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % i + o + b"\nendobj\n" for i, o in enumerate(objects, 1)) + b"%%EOF"
+
+
+_CMAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <4F60> endbfchar 1 beginbfrange <0002> <0003> <0041> endbfrange"
+_PDFS = [
+    (b"BT /F1 20 Tf 50 700 Td (A Title) Tj /F1 10 Tf 0 -30 Td (first line of a) Tj 0 -12 Td (paragraph \\(1\\).) Tj 0 -12 Td [(Next) -300 (one) 20 (s.)] TJ 0 -12 Td (12) Tj ET", b"", "# A Title\n\nfirst line of a paragraph (1).\n\nNext ones.\n"),
+    (b"BT /F1 10 Tf 1 0 0 1 50 700 Tm <000100020003> Tj ET", _CMAP, "你AB\n"),
+    (b"BT /F1 10 Tf 12 TL 50 700 Td (one two) Tj T* (\\225 item) Tj ET", b"", "one two\n\n- item\n"),
+]
+
+
+@query("pdf_text_layer", _values([(i, m, "ok") for i, (_, _, m) in enumerate(_PDFS)] + [(9, "", "pdf_no_text_layer")], "id, markdown, state"))
+def _(spark, d):
+    files = [(i, *office.to_markdown("a.pdf", _pdf(c, t))) for i, (c, t, _) in enumerate(_PDFS)]
+    files.append((9, *office.to_markdown("b.pdf", _pdf(b"0 0 10 10 re f"))))
+    return spark.createDataFrame(files, "id int, markdown string, state string")

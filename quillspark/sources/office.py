@@ -115,17 +115,6 @@ def sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
-def header_row(grid: list[list[str]]) -> int:
-    """Where the header stands: the first of the fullest rows with the most text, 60 % filled at least."""
-    width = max((sum(1 for c in r if c) for r in grid[:50]), default=0)
-    best, at = -1.0, 0
-    for i, r in enumerate(grid[:50]):
-        filled = [c for c in r if c]
-        if width and len(filled) >= 0.6 * width and (score := len(filled) / width + 0.5 * sum(not re.fullmatch(r"[-+\d.,%]+", c) for c in filled) / len(filled)) > best + 1e-9:
-            best, at = score, i
-    return at
-
-
 def _paragraph(p, styles: dict[str, int]) -> str:
     text = "".join("\t" if _local(x) == "tab" else "\n" if _local(x) == "br" else x.text or "" for x in p.iter() if _local(x) in ("t", "tab", "br"))
     style = next((_attr(x, "val") for x in _all(p, "pStyle")), "")
@@ -200,11 +189,15 @@ def to_markdown(name: str, data: bytes) -> tuple[str, str]:
             return decode_text(data)[0], "ok"
         if ext in ("docx", "pptx"):
             return (docx_markdown if ext == "docx" else pptx_markdown)(data), "ok"
+        if ext == "pdf":
+            from .pdf_text import pdf_markdown
+
+            return pdf_markdown(data), "ok"
         if ext == "xlsx":
             return "\n\n".join(f"## {n}\n\n{_table(g)}" for n, g in sheets(data)) + "\n", "ok"
     except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return "", str(e) or "unreadable"
-    return "", "optional_adapter_required" if ext in ("doc", "ppt", "xls", "pdf") else "unsupported"
+    return "", "optional_adapter_required" if ext in ("doc", "ppt", "xls") else "unsupported"
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,7 +215,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, row_no and cells (a map from column name) of every data row of every sheet."""
-    from .csv_source import column_names
+    from . import sheet_table
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -231,11 +224,8 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, c in zip(b["path"], b["content"], strict=True):
                 for sheet, grid in sheets(c):
-                    at = header_row(grid)
-                    width = max(map(len, grid[at:]), default=0)
-                    head = grid[at] if grid else []
-                    names = column_names(head + [""] * (width - len(head)))
-                    rows += [(p, sheet, i, dict(zip(names, r + [""] * (width - len(r)), strict=True))) for i, r in enumerate(grid[at + 1 :], at + 2) if any(r)]
+                    t = sheet_table.table(grid)
+                    rows += [(p, sheet, no, dict(zip(t.names, cells, strict=True))) for no, cells in t.rows]
             yield pd.DataFrame(rows, columns=["path", "sheet", "row_no", "cells"])
 
     return files.mapInPandas(run, "path string, sheet string, row_no long, cells map<string, string>")
