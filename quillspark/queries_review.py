@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, text
-from .operators import chunks, exchange, folders, gate, governance, inbox, lines, masking, preview
+from .operators import chunks, exchange, folders, gate, governance, inbox, lines, masking, package, preview
 from .plans import jobs, parser, render
 from .plans.engine import Engine
 from .plans.errors import QueryError
@@ -426,3 +426,58 @@ def _(spark, d):
     files = [(i, *office.to_markdown("a.pdf", _pdf(c, t))) for i, (c, t, _) in enumerate(_PDFS)]
     files.append((9, *office.to_markdown("b.pdf", _pdf(b"0 0 10 10 re f"))))
     return spark.createDataFrame(files, "id int, markdown string, state string")
+
+
+def _packages(spark, d):
+    rows = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit('T "'), "lang", F.lit('"')).alias("title"), F.col("text").alias("body"),
+        F.when(F.col("doc_id") % 2 == 0, '{"kind":"sent"}').alias("evidence"), F.when(F.col("doc_id") % 3 == 0, "a,b\n1,2").alias("table"),
+    )
+    return package.files(rows)
+
+
+_DOCUMENT = r"""'---' || chr(10) || 'title: "T \"' || lang || '\""' || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') || chr(10)"""
+
+
+@query("package_files", f"""with f as (select doc_id as id, 'document.md' as path, {_DOCUMENT} as content from documents union all
+select doc_id, 'evidence.jsonl', case when doc_id % 2 = 0 then '{{"kind":"sent"}}' || chr(10) else '' end from documents union all select doc_id, 'tables/query_result.csv', 'a,b' || chr(10) || '1,2' from documents where doc_id % 3 = 0)
+select id, path, sha256(content) as hash from f""")
+def _(spark, d):
+    return _packages(spark, d).filter("path <> 'manifest.json'").select("id", "path", F.sha2("content", 256).alias("hash"))
+
+
+@query("package_integrity", "select doc_id as id, case when doc_id % 5 in (0, 1, 2) then 'fail' else 'pass' end as integrity from documents")
+def _(spark, d):
+    f = _packages(spark, d).filter("not (id % 5 = 1 and path = 'document.md') and not (id % 5 = 2 and path = 'manifest.json')")
+    return package.integrity(f.withColumn("content", F.when(F.expr("id % 5 = 0 and path = 'document.md'"), "changed").otherwise(F.col("content"))))
+
+
+_EXPLAINED = """with p as (select doc_id as id, case when doc_id % 2 = 0 then 'fail' else 'pass' end as integrity, doc_id % 3 as sources, length(text) as bytes, doc_id % 5 <> 0 as audited, doc_id % 7 = 0 as low, doc_id % 11 as limits,
+case doc_id % 4 when 0 then 'unknown' when 1 then 'pass' when 2 then 'warning' else 'fail' end as gate from documents)
+select id, gate, case when bytes > 0 and not low and gate <> 'fail' then 'pass' else 'warning' end as ai_ready, case when integrity = 'pass' and gate <> 'fail' then 'pass' else 'warning' end as sharing,
+((integrity = 'fail')::int + (sources = 0)::int + (bytes = 0)::int + (not audited)::int + low::int + (limits > 0)::int + (gate <> 'pass')::int)::bigint as risks,
+case when integrity = 'fail' or gate = 'fail' then 'blocked' when low or not audited or sources = 0 or gate <> 'pass' or limits > 0 then 'trusted_with_warnings' else 'trusted' end as verdict from p"""
+
+
+@query("package_explained", _EXPLAINED)
+def _(spark, d):
+    decisions = F.get(F.array(F.array().cast("array<string>"), F.array(F.lit("allow")), F.array(F.lit("allow"), F.lit("review_recommended")), F.array(F.lit("review"), F.lit("never_send"))), (F.col("doc_id") % 4).cast("int"))
+    p = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "fail").otherwise("pass").alias("integrity"), F.lit("pass").alias("sanitized"), F.lit(1).alias("version"), (F.col("doc_id") % 3).alias("sources"),
+        F.length("text").alias("bytes"), (F.col("doc_id") % 5 != 0).alias("audited"), (F.col("doc_id") % 7 == 0).alias("low_confidence"), (F.col("doc_id") % 11).alias("limits"), decisions.alias("decisions"),
+    )
+    e = package.explained(p)
+    return e.select("id", "gate", "ai_ready", "sharing", F.size("risks").cast("long").alias("risks"), "verdict")
+
+
+@query("package_report", _values([(1, "# Receiver report: T\n\n- Verdict: trusted\n- Send gate: pass\n- AI readiness: pass\n- External sharing: pass\n\n## Risks\n\n- none\n\n## Actions\n\n- " + package.READY + "\n")], "id, report"))
+def _(spark, d):
+    p = spark.sql("select 1 as id, 'pass' as integrity, 'pass' as sanitized, 1 as version, 1 as sources, 9 as bytes, true as audited, false as low_confidence, 0 as limits, array('allow') as decisions")
+    e = package.explained(p).withColumn("title", F.lit("T"))
+    return e.select("id", package.receiver_report(e).alias("report"))
+
+
+@query("package_leaks", "select doc_id as id, case when doc_id % 3 = 0 then 'manifest.json' else '.env' end as path, case when doc_id % 3 = 0 then 'secret_in_manifest' else 'sensitive_path' end as reason from documents where doc_id % 3 < 2")
+def _(spark, d):
+    x = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "manifest.json").when(F.col("doc_id") % 3 == 1, ".env").otherwise("document.md").alias("path"), F.lit("key sk-abc123xyz here").alias("content"))
+    return package.leaks(x)
