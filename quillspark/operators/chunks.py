@@ -131,3 +131,22 @@ def transition(rows: DataFrame, changes: DataFrame) -> DataFrame:
     checked = checked.otherwise(F.raise_error(F.concat(F.lit("unsupported status: "), F.col("new_status"))).cast("string"))
     keep = [c for c in rows.columns if c != "status"]
     return rows.join(new, ["run_id", "batch_index"], "left").select(*keep, checked.alias("status"))
+
+
+def progress(plan: DataFrame, completed: Column, budget: int = BUNDLE_TOKENS) -> DataFrame:
+    """doc_id with how far the feeding of an intake plan is, and the chunk and range that come next (null when done)."""
+    width = max(1, budget // CHUNK_TOKENS)
+    total = F.col("chunks")
+    done = F.least(total, F.greatest(F.lit(0).cast("long"), F.coalesce(completed, F.lit(0)).cast("long")))
+    d = plan.select("doc_id", total.alias("total"), done.alias("completed"))
+    following = F.when(F.col("completed") < F.col("total"), F.col("completed") + 1)
+    left = F.col("total") - F.col("completed")
+    return d.select(
+        "*",
+        left.alias("remaining"),
+        F.when(F.col("total") > 0, F.floor(F.col("completed") / F.col("total") * 100 + 0.5).cast("long")).otherwise(100).alias("percent"),
+        following.alias("next_chunk"),
+        F.when(following.isNotNull(), F.least(F.col("total"), following + (width - 1))).alias("next_range_end"),
+        F.ceil(left / width).cast("long").alias("remaining_ranges"),
+        F.when(F.col("total") > 1, "range_then_confirm").otherwise("single_reviewed_context").alias("mode"),
+    )

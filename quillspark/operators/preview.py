@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +98,9 @@ def bundle(rows: DataFrame, content: str = "content") -> Column:
 
 # Lines about the conversion, and the marks of older notices.
 PROCESS_LINE = r"(?i)^>\s*(?:Source|Converted by|Extractor|Extraction quality|Human-readable Markdown view\.?|Source format):|^>\s*Human-readable Markdown view\.?$"
+PDF_NOTICE = ("# PDF extraction needs another path", "Presentation replaced due to low readability", "\n---\n")
+BLOCKED_NOTICE = ("Human-readable Markdown was not generated", "this human reading view is blocked")
+BLOCKED_LINE, BLOCKED_NOW = r"(?m)^- Schema Docs kept.*this human reading view is blocked.*$", "- PDF/OCR extraction limit; not Markdown failure."
 UNREADABLE = "\n".join(
     (
         "# Document needs another extraction path",
@@ -113,9 +119,17 @@ UNREADABLE = "\n".join(
 )
 
 
+def without_legacy(text: Column) -> Column:
+    """Of a document that an older notice stands before, the notice alone."""
+    holds = lambda marks: F.least(F.lit(True), *(F.contains(text, F.lit(m)) for m in marks))
+    end = lambda c: F.concat(F.regexp_replace(c, f"{T.WHITE}+\\z", ""), F.lit("\n"))
+    blocked = F.regexp_replace(F.substring_index(text, "\n---\n\n", 1), BLOCKED_LINE, BLOCKED_NOW)
+    return F.when(holds(PDF_NOTICE), end(F.substring_index(text, "\n---\n", 1))).when(holds(BLOCKED_NOTICE), end(blocked)).otherwise(text)
+
+
 def cleaned_markdown(text: Column) -> Column:
     """Stored Markdown without lines about its conversion (and the blank line after one), or a notice if it is unreadable."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+    lines = F.split(F.regexp_replace(without_legacy(F.coalesce(text, F.lit(""))), "\r\n?", "\n"), "\n")
     trim = lambda x: F.regexp_replace(x, f"^{T.WHITE}+|{T.WHITE}+$", "")
 
     def clean(all_: Column) -> Column:
@@ -125,3 +139,44 @@ def cleaned_markdown(text: Column) -> Column:
     body = F.regexp_replace(F.array_join(T.let(lines, clean), "\n"), "\n{3,}", "\n\n")
     body = F.concat(F.regexp_replace(body, f"{T.WHITE}+\\z", ""), F.lit("\n"))
     return T.let(body, lambda b: F.when(T.high_mojibake(b), F.lit(UNREADABLE)).otherwise(b))
+
+
+# A slide's heading, and an image that shows the slide by its caption or its file.
+SLIDE = r"(?i)##\s+Slide\s+(\d+)(?:\s*[:：].*)?\s*"
+IMAGE = r"""(?i)!\[([^\]]*)\]\((?:<([^>\n]+)>|([^\s)\n]+))(?:\s+["'][^"']*["'])?\)\s*"""
+CAPTION, IMAGE_FILE = r"(?i)Slide\s+%s\s+(?:preview|image)", r"(?i).*\.pptx[\\/]slide-%s(?:-(?:preview|image))?\.(?:png|jpe?g|webp)"
+
+
+def _picture(block: list[str], number: str) -> str | None:
+    """The line of a slide's block that shows the slide as a whole."""
+    for line in block:
+        m = re.fullmatch(IMAGE, line.strip())
+        if m and (re.fullmatch(CAPTION % number, m[1]) or re.fullmatch(IMAGE_FILE % number, m[2] or m[3] or "")):
+            return line.strip()
+    return None
+
+
+def projected_slides(markdown: str | None) -> str:
+    """Slides as their heading and picture, where they have one; a text without such pictures stays as it is."""
+    text = re.sub("\r\n?", "\n", markdown or "")
+    blocks: list[tuple[str | None, list[str]]] = [(None, [])]
+    for line in text.split("\n"):
+        if m := re.fullmatch(SLIDE, line.strip()):
+            blocks.append((m[1], []))
+        blocks[-1][1].append(line)
+    pictures = [number and _picture(block, number) for number, block in blocks]
+    if not any(pictures):
+        return text
+    title = next((x.strip() for x in blocks[0][1] if re.match(r"#\s+\S", x.strip())), "")
+    parts = [title] + [f"{block[0].strip()}\n\n{p}" if p else "\n".join(block).rstrip() for (_, block), p in zip(blocks[1:], pictures[1:], strict=True)]
+    return re.sub("\n{3,}", "\n\n", "\n\n".join(x for x in parts if x)).strip() + "\n"
+
+
+def slides(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and the projected text of every row."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(projected_slides)
+
+    return docs.select(key, run(F.col(text)).alias("projected"))

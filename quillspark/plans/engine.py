@@ -206,8 +206,10 @@ class _Names:
             sides = [self._find(n) for n in q.join[1:]]
             if any(s is None for s in sides):
                 raise QueryError("query_column_not_found", f"unknown join column in {q.join[1]} = {q.join[2]}")
-            on = coerce.text(sides[0][0]) == coerce.text(sides[1][0])
-            self.frame = lf.join(rf, on, "inner")
+            (a, ta), (b, tb) = sides
+            # whole numbers read alike as text if and only if they are equal, and null is the empty text on both sides
+            whole = isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType)
+            self.frame = lf.join(rf, a.eqNullSafe(b) if whole else coerce.text(a) == coerce.text(b), "inner")
         self.joined = bool(q.join)
         self.left, self.right = left, engine.table(q.join[0]) if q.join else None
         for i in q.items:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, text
-from .operators import chunks, exchange, folders, gate, governance, inbox, lines, masking, package, preview
+from .operators import chunks, exchange, folders, gate, governance, inbox, lines, masking, package, preview, readable
 from .plans import jobs, parser, render
 from .plans.engine import Engine
 from .plans.errors import QueryError
@@ -481,3 +481,71 @@ def _(spark, d):
 def _(spark, d):
     x = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "manifest.json").when(F.col("doc_id") % 3 == 1, ".env").otherwise("document.md").alias("path"), F.lit("key sk-abc123xyz here").alias("content"))
     return package.leaks(x)
+
+
+@query("chunk_progress", "with p as (select doc_id, case when length(text) = 0 then 0 else ceil(greatest(1, length(text) - 800) / 11200.0)::bigint end as total, doc_id % 3 as c from documents), q as (select *, least(total, c) as completed from p) select doc_id, total, completed, total - completed as remaining, case when total > 0 then floor(completed / total * 100 + 0.5)::bigint else 100 end as percent, case when completed < total then completed + 1 else 0 end as next_chunk, case when completed < total then least(total, completed + 3) else 0 end as next_range_end, ceil((total - completed) / 3.0)::bigint as remaining_ranges, case when total > 1 then 'range_then_confirm' else 'single_reviewed_context' end as mode from q")
+def _(spark, d):
+    plan = chunks.intake_plan(_t(spark, d, "documents"))
+    p = chunks.progress(plan, F.col("doc_id") % 3)
+    return p.withColumn("next_chunk", F.coalesce("next_chunk", F.lit(0))).withColumn("next_range_end", F.coalesce("next_range_end", F.lit(0)))
+
+
+# Fixed examples of stored texts, and how they read when cleaned.
+_STORED = [
+    ("# PDF extraction needs another path\n\nPresentation replaced due to low readability\n\n---\n\nbody", "# PDF extraction needs another path\n\nPresentation replaced due to low readability\n"),
+    ("Human-readable Markdown was not generated\n- Schema Docs kept it, this human reading view is blocked now\n\n---\n\nbody", "Human-readable Markdown was not generated\n- PDF/OCR extraction limit; not Markdown failure.\n"),
+    ("a\r\n> Extractor: x\r\n\r\nb\n\n\n\nc  ", "a\nb\n\nc\n"),
+    ("\ufffd" * 90, preview.UNREADABLE),
+]
+
+
+@query("stored_markdown_legacy", _values(_STORED, "stored, cleaned"))
+def _(spark, d):
+    return spark.createDataFrame([(x,) for x, _ in _STORED], "stored string").select("stored", preview.cleaned_markdown(F.col("stored")).alias("cleaned"))
+
+
+@query("feedback_paths", _values([(1, "md", "imported", "[REDACTED_PATH_HASH_17862]"), (2, "md", "failed", None), (3, "csv", "imported", "[REDACTED_PATH_HASH_61]"), (4, "md", "imported", "[REDACTED_PATH_HASH_80000000]")], "id, type, status, path"))
+def _(spark, d):
+    # the hashes of "abc" and "a", and one that reaches the least 32-bit number
+    r = [(1, "md", "imported", "abc"), (2, "md", "failed", ""), (3, "csv", "imported", "a"), (4, "md", "imported", "polygenelubricants")]
+    return exchange.feedback(spark.createDataFrame(r, "id int, type string, status string, path string"))
+
+
+_DECK = [
+    ("# Deck\nintro\n## Slide 1: One\ntext\n![Slide 1 preview](a.png)\nmore\n## Slide 2\nkept\n\n", "# Deck\n\n## Slide 1: One\n\n![Slide 1 preview](a.png)\n\n## Slide 2\nkept\n"),
+    ("## Slide 3\n![x](<b.pptx/slide-3.png>)\nnote", "## Slide 3\n\n![x](<b.pptx/slide-3.png>)\n"),
+    ("## Slide 1\n![Slide 2 preview](a.png)", "## Slide 1\n![Slide 2 preview](a.png)"),
+]
+
+
+@query("slide_projection", _values(_DECK, "deck, projected"))
+def _(spark, d):
+    return preview.slides(spark.createDataFrame([(x,) for x, _ in _DECK], "deck string"), "deck", "deck")
+
+
+# Fixed examples: a step of the readable view, its input and its output, lines joined by line feeds.
+_READABLE = [
+    ("setext", "Title\n=====\nSub\n---\nA sentence.\n---", "# Title\n## Sub\nA sentence.\n---"),
+    ("toc", "Intro ...... 3\nplain", "- Intro (3)\nplain"),
+    ("paragraphs", "first part of a\nsentence.\nNext\n\n你好\n世界\nPAGE TITLE\n12\n- item\n```\nx  \ny\n```", "first part of a sentence.\nNext\n\n你好世界\nPAGE TITLE\n- item\n```\nx\ny\n```"),
+    ("collapsed", "\n\na\n\n\nb\n\n", "a\n\nb"),
+    ("contents", "# A\n## B\n### C\n#### D", "## Contents\n\n- A\n  - B\n    - C\n"),
+    ("contents", "# A\n## B", ""),
+]
+
+
+@query("readable_steps", _values(_READABLE, "step, raw, done"))
+def _(spark, d):
+    step = {"setext": readable.setext, "toc": readable.toc_lines, "paragraphs": readable.paragraphs, "collapsed": readable.collapsed, "contents": readable.contents}
+    return spark.createDataFrame([(s, raw, "\n".join(step[s](raw.split("\n")))) for s, raw, _ in _READABLE], "step string, raw string, done string")
+
+
+@query("doc_segments", "select doc_id, 1::bigint as segment_no, sha256(text) as hash from documents where length(text) between 1 and 24000")
+def _(spark, d):
+    s = readable.segmented(_t(spark, d, "documents").filter("length(text) between 1 and 24000"), size=20_000)
+    return s.select("doc_id", "segment_no", F.sha2("segment", 256).alias("hash"))
+
+
+@query("text_headings", r"select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*#{1,6}[ \t]+')))::bigint as headings, len(list_distinct(regexp_extract_all(text, '\[(?:MASK|MASKED)_[A-Z0-9_]+\]')))::bigint as marks from documents")
+def _(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(text.headings("text")).cast("long").alias("headings"), F.size(text.mask_placeholders("text")).cast("long").alias("marks"))
