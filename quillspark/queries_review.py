@@ -549,3 +549,42 @@ def _(spark, d):
 @query("text_headings", r"select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*#{1,6}[ \t]+')))::bigint as headings, len(list_distinct(regexp_extract_all(text, '\[(?:MASK|MASKED)_[A-Z0-9_]+\]')))::bigint as marks from documents")
 def _(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(text.headings("text")).cast("long").alias("headings"), F.size(text.mask_placeholders("text")).cast("long").alias("marks"))
+
+
+def _docx() -> bytes:
+    """A document with a heading, lists, a link, a note, a formula, an image and a table."""
+    import io
+    import zipfile
+
+    p = lambda inner, props="": f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{inner}</w:p>"
+    r = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    item = lambda t, n, level=0: p(r(t), f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{n}"/></w:numPr>')
+    body = [
+        p(r("Head"), '<w:pStyle w:val="H2"/>'), item("one", 1), item("deep", 1, 1), item("two", 1), item("dot", 2),
+        p(r("see ") + '<w:hyperlink r:id="r1">' + r("here") + "</w:hyperlink>" + '<w:r><w:footnoteReference w:id="2"/></w:r>' + "<m:oMath><m:sSup><m:e><m:r><m:t>x</m:t></m:r></m:e><m:sup><m:r><m:t>2</m:t></m:r></m:sup></m:sSup></m:oMath>"),
+        p("<m:oMathPara><m:oMath><m:f><m:num><m:r><m:t>a</m:t></m:r></m:num><m:den><m:r><m:t>b</m:t></m:r></m:den></m:f></m:oMath></m:oMathPara>"),
+        p('<w:r><w:drawing><a:blip r:embed="r2"/></w:drawing></w:r>'),
+        f'<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p(r("a|b"))}</w:tc></w:tr><w:tr><w:tc>{p(r("c"))}</w:tc><w:tc>{p(r("d"))}</w:tc></w:tr></w:tbl>',
+    ]
+    space = 'xmlns:w="w" xmlns:r="r" xmlns:m="http://math" xmlns:a="a"'
+    level = lambda n, how: f'<w:lvl w:ilvl="{n}"><w:start w:val="1"/><w:numFmt w:val="{how}"/></w:lvl>'
+    files = {
+        "word/document.xml": f"<w:document {space}><w:body>{''.join(body)}</w:body></w:document>",
+        "word/_rels/document.xml.rels": '<Relationships><Relationship Id="r1" Target="http://h/"/><Relationship Id="r2" Target="media/i.png"/></Relationships>',
+        "word/styles.xml": f'<w:styles {space}><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style></w:styles>',
+        "word/numbering.xml": f'<w:numbering {space}><w:abstractNum w:abstractNumId="5">{level(0, "decimal")}{level(1, "decimal")}</w:abstractNum><w:abstractNum w:abstractNumId="6">{level(0, "bullet")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="5"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="6"/></w:num></w:numbering>',
+        "word/footnotes.xml": f'<w:footnotes {space}><w:footnote w:id="0"><w:p/></w:footnote><w:footnote w:id="2">{p(r("Said so."))}</w:footnote></w:footnotes>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text_ in files.items():
+            z.writestr(name, text_)
+    return out.getvalue()
+
+
+_DOCX = "## Head\n\n1. one\n\n  1. deep\n\n2. two\n\n- dot\n\nsee [here](http://h/)[^footnote-2]$x^{2}$\n\n$$\n\\frac{a}{b}\n$$\n\n![Word image](<media/i.png>)\n\n| a\\|b |  |\n| --- | --- |\n| c | d |\n\n[^footnote-2]: Said so.\n"
+
+
+@query("docx_markdown", _values([(1, _DOCX, "ok"), (2, "", "File is not a zip file")], "id, markdown, state"))
+def _(spark, d):
+    return spark.createDataFrame([(1, *office.to_markdown("a.docx", _docx())), (2, *office.to_markdown("b.docx", b"zip?"))], "id int, markdown string, state string")

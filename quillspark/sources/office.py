@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import docx_text
+
 # Limits against archive bombs.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO = 10_000, 128 << 20, 512 << 20, 500
 
@@ -115,32 +117,10 @@ def sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
-def _paragraph(p, styles: dict[str, int]) -> str:
-    text = "".join("\t" if _local(x) == "tab" else "\n" if _local(x) == "br" else x.text or "" for x in p.iter() if _local(x) in ("t", "tab", "br"))
-    style = next((_attr(x, "val") for x in _all(p, "pStyle")), "")
-    level = re.match(r"(?i)heading\s*([1-6])", style)
-    if level and text.strip():
-        return f"{'#' * int(level[1])} {text.strip()}"
-    return f"- {text.strip()}" if next(_all(p, "numPr"), None) is not None and text.strip() else text
-
-
-def _table(rows: list[list[str]]) -> str:
-    width = max(map(len, rows), default=0)
-    cell = lambda c: c.replace("|", "\\|").replace("\n", "<br>").strip()
-    lines = [f"| {' | '.join(cell(c) for c in r + [''] * (width - len(r)))} |" for r in rows]
-    return "\n".join([*lines[:1], f"| {' | '.join(['---'] * width)} |", *lines[1:]]) if lines else ""
-
-
 def docx_markdown(data: bytes) -> str:
-    """Headings, paragraphs, list items and tables of a document, in order."""
-    body = next(_all(_xml(open_archive(data), "word/document.xml"), "body"), None)
-    out = []
-    for e in body if body is not None else ():
-        if _local(e) == "p":
-            out.append(_paragraph(e, {}))
-        elif _local(e) == "tbl":
-            out.append(_table([["\n".join(_paragraph(p, {}) for p in _all(c, "p")) for c in _all(r, "tc")] for r in _all(e, "tr")]))
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(out)).strip() + "\n"
+    """A document's blocks in order, then the notes that it refers to."""
+    z = open_archive(data)
+    return docx_text.Document(lambda name: _xml(z, name)).markdown()
 
 
 def pptx_markdown(data: bytes) -> str:
@@ -153,7 +133,7 @@ def pptx_markdown(data: bytes) -> str:
         texts = [t for s in _all(root, "sp") if (t := "\n".join(filter(None, (_text(p).strip() for p in _all(s, "p")))))]
         title = texts[0].split("\n")[0] if texts else f"Slide {i}"
         rest = ["\n".join(texts[0].split("\n")[1:])] + texts[1:] if texts else []
-        tables = [_table([[_text(c) for c in _all(r, "tc")] for r in _all(t, "tr")]) for t in _all(root, "tbl")]
+        tables = [docx_text.table_markdown([[_text(c) for c in _all(r, "tc")] for r in _all(t, "tr")]) for t in _all(root, "tbl")]
         notes = _xml(z, f"ppt/notesSlides/notesSlide{re.search(r'[0-9]+', n)[0]}.xml")
         note = " ".join(filter(None, (_text(p).strip() for p in _all(notes, "p"))))
         out.append("\n\n".join([f"## {title}", *filter(None, rest), *tables, *([f"> Notes: {note}"] if note else [])]))
@@ -194,7 +174,7 @@ def to_markdown(name: str, data: bytes) -> tuple[str, str]:
 
             return pdf_markdown(data), "ok"
         if ext == "xlsx":
-            return "\n\n".join(f"## {n}\n\n{_table(g)}" for n, g in sheets(data)) + "\n", "ok"
+            return "\n\n".join(f"## {n}\n\n{docx_text.table_markdown(g)}" for n, g in sheets(data)) + "\n", "ok"
     except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return "", str(e) or "unreadable"
     return "", "optional_adapter_required" if ext in ("doc", "ppt", "xls") else "unsupported"
