@@ -115,6 +115,25 @@ def upserted(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return table.join(rows.select(key), key, "left_anti").unionByName(rows.select(*table.columns))
 
 
+PROFILE = ("id", "name", "api_base_url", "model")
+
+
+def saved_profiles(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """API profiles with ``rows`` saved: one with a known id or name changes that profile, others are new.
+
+    A profile keeps its id; keys and any other columns are not kept. A row without a name, an address
+    or a model is refused.
+    """
+    said = [F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in PROFILE[1:]]
+    new = rows.select(F.col("id").alias("new_id"), *said)
+    for c, code in zip(PROFILE[1:], ("api_profile_name_required", "api_base_url_required", "api_model_required"), strict=True):
+        new = new.withColumn(c, F.when(F.col(c) == "", F.raise_error(F.lit(code)).cast("string")).otherwise(F.col(c)))
+    by_id = new.join(table.select("id"), F.col("new_id") == F.col("id"), "left")
+    named = table.select(F.col("id").alias("named"), F.col("name"))
+    found = by_id.join(named, "name", "left").withColumn("id", F.coalesce("id", "named", "new_id")).select(*PROFILE)
+    return table.select(*PROFILE).join(found.select("id"), "id", "left_anti").unionByName(found)
+
+
 def with_limits(rows: DataFrame, limits: DataFrame, codes: str = "codes") -> DataFrame:
     """Rows with the descriptions of their known limits (limits: code, action), in the codes' order."""
     keys = [c for c in rows.columns if c != codes]

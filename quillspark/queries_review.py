@@ -588,3 +588,10 @@ _DOCX = "## Head\n\n1. one\n\n  1. deep\n\n2. two\n\n- dot\n\nsee [here](http://
 @query("docx_markdown", _values([(1, _DOCX, "ok"), (2, "", "File is not a zip file")], "id, markdown, state"))
 def _(spark, d):
     return spark.createDataFrame([(1, *office.to_markdown("a.docx", _docx())), (2, *office.to_markdown("b.docx", b"zip?"))], "id int, markdown string, state string")
+
+
+@query("profiles_saved", _values([("1", "one", "http://new/", "m"), ("2", "second", "http://b/", "m2"), ("9", "fresh", "http://c/", "m3")], "id, name, api_base_url, model"))
+def _(spark, d):
+    t = spark.createDataFrame([("1", "one", "http://a/", "m"), ("2", "two", "http://b/", "m")], "id string, name string, api_base_url string, model string")
+    rows = [("7", " one ", "http://new/", "m", "sk-secret"), ("2", "second", "http://b/", "m2", "x"), ("9", "fresh", "http://c/", "m3", None)]
+    return exchange.saved_profiles(t, spark.createDataFrame(rows, "id string, name string, api_base_url string, model string, api_key string"))
