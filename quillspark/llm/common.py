@@ -150,6 +150,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     return out
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices, so that a task holds few texts as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def env_path(default: str, name: str) -> str:
     """A tokenizer file: the environment's choice, else the installed public one."""
     import public_tokenizers

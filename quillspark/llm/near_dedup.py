@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spent, table, written
+from .common import sliced, spent, table, written
 from .components import connected
 
 #: Generator polynomial of the binary Golay code of length 23.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = [f"carry{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype="<u8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view("<i8")), *b.columns[3:]], ["doc_id", "th", "fp", *more])
 
@@ -198,7 +198,7 @@ def _keyed_texts(docs: DataFrame, shingle: int) -> DataFrame:
     """(th, n, keys) of every row of (text, th): the size of its set and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingles(t, shingle) for t in b.column(0).to_pylist()]
             n, made = pa.array(map(len, sets), pa.int32()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(1), n, made], ["th", "n", "keys"])

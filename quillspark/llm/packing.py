@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import env_path, table, written
+from .common import env_path, sliced, table, written
 
 CAPACITY = 2048
 END_ID = 1
@@ -62,15 +62,19 @@ def byte_ranks(definition: str) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): i for t, i in ids.items()}
 
 
+def added_tokens(definition: str) -> list[str]:
+    return [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+
+
 class Encoder:
     """Whole texts to little-endian 32-bit ids, as the definition's tokenizer gives them without special tokens.
 
     Texts that hold the string of an added token go to that tokenizer itself, which gives it its own id.
     """
 
-    def __init__(self, definition: str, ranks: dict[bytes, int] | None):
+    def __init__(self, definition: str, ranks: dict[bytes, int] | None, added: list[str] | None = None):
         self.definition, self.ranks = definition, None
-        self.added = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        self.added = added_tokens(definition) if added is None else added
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -96,7 +100,7 @@ def _vocabulary(spark: SparkSession, path: str | None):
     """The definition and its ranks, sent to every executor: of a fixed size."""
     with open(path or env_path("byte_bpe_50k.json", "QUILLSPARK_BPE_JSON"), encoding="utf-8") as f:
         definition = f.read()
-    return spark.sparkContext.broadcast((definition, byte_ranks(definition)))
+    return spark.sparkContext.broadcast((definition, byte_ranks(definition), added_tokens(definition)))
 
 
 def _groups(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -121,7 +125,7 @@ def pieces(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_i
         from pyspark import TaskContext
 
         encoder, uid = Encoder(*sent.value), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in sliced(batches):
             ids, hashes = b.column(0).to_pylist(), b.column(2).to_pylist()
             for at, texts in _groups(b, 1):
                 rows = []
@@ -303,7 +307,7 @@ def _checksums(spark, docs, cut, end_id, path) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*sent.value)
-        for b in batches:
+        for b in sliced(batches):
             ids, hashes, cuts = (b.column(i).to_pylist() for i in (0, 1, 3))
             for at, texts in _groups(b, 2):
                 rows = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled, table, training_sample
+from .common import held_out, labelled, sliced, table, training_sample
 
 SLOTS, WIDTH, NONZERO, WINDOW = 1 << 14, 32, 2, 2
 #: Bounds of the labelled sample: rows and characters.
@@ -77,7 +77,7 @@ def contexts(docs: DataFrame) -> DataFrame:
         slots, total = Slots(), np.zeros(SLOTS * WIDTH)
         places, signs = index_vectors()
         gap, held, size = np.array([-1], np.int64), [], 0
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 ids = slots.of(t)
                 held += [ids, gap]
@@ -183,7 +183,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, keep: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, slots = sent.value, Slots()
-        for b in batches:
+        for b in sliced(batches, 1024):
             x = np.array([pool(slots.of(t), m["vectors"]) for t in b.column(at).to_pylist()], np.float32)
             p = probabilities(m["net"], x.reshape(-1, 2 * WIDTH + 4))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in held), pa.array(p, pa.float64())], names)

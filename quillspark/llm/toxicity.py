@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled, table, training_sample
+from .common import held_out, labelled, sliced, table, training_sample
 
 #: Bounds of the training sample: labelled rows and characters. A text's features are bounded by them.
 MAX_ROWS, MAX_CHARS = 8_000, 10_000_000
@@ -156,7 +156,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, located: bool = Tru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         known, bias, leak = _Weights(m["weights"]), m["bias"], m["leak"]
-        for b in batches:
+        for b in sliced(batches, 1024):
             scores, counts, found = [], [], []
             for t in b.column(1).to_pylist():
                 x = _logits(t or "", known, bias)
