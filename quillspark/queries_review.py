@@ -595,3 +595,13 @@ def _(spark, d):
     t = spark.createDataFrame([("1", "one", "http://a/", "m"), ("2", "two", "http://b/", "m")], "id string, name string, api_base_url string, model string")
     rows = [("7", " one ", "http://new/", "m", "sk-secret"), ("2", "second", "http://b/", "m2", "x"), ("9", "fresh", "http://c/", "m3", None)]
     return exchange.saved_profiles(t, spark.createDataFrame(rows, "id string, name string, api_base_url string, model string, api_key string"))
+
+
+@query("batch_convert", "select doc_id as id, case when doc_id % 3 = 0 then 'archived' when doc_id % 2 = 0 then 'imported' else 'converted' end as status, case when doc_id % 3 = 0 or doc_id % 2 = 0 then '' else sha256(text) end as hash, case when doc_id % 3 = 0 then '' when doc_id % 2 = 0 then 'unsupported' else 'ok' end as state from documents")
+def _(spark, d):
+    r = _t(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "archived").otherwise("imported").alias("status"),
+        F.when(F.col("doc_id") % 2 == 0, "a.exe").otherwise("a.md").alias("path"), F.encode("text", "UTF-8").alias("content"),
+    )
+    c = office.converted(r)
+    return c.select("id", "status", F.coalesce(F.sha2("markdown", 256), F.lit("")).alias("hash"), F.coalesce("state", F.lit("")).alias("state"))

@@ -193,6 +193,22 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return cols.mapInPandas(run, "path string, hash string, bytes long, markdown string, state string")
 
 
+def converted(records: DataFrame) -> DataFrame:
+    """id, status, markdown and state of records (id, status, path, content): the imported ones are converted.
+
+    One that cannot be converted stays imported, and its state says why; the others stay as they are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = [to_markdown(p, c) if s == "imported" else (None, None) for s, p, c in zip(b["status"], b["path"], b["content"], strict=True)]
+            status = ["converted" if x[1] == "ok" else s for s, x in zip(b["status"], done, strict=True)]
+            yield pd.DataFrame({"id": b["id"], "status": status, "markdown": [m if x == "ok" else None for m, x in done], "state": [x for _, x in done]})
+
+    kind = records.schema["id"].dataType.simpleString()
+    return records.select("id", "status", "path", "content").mapInPandas(run, f"id {kind}, status string, markdown string, state string")
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, row_no and cells (a map from column name) of every data row of every sheet."""
     from . import sheet_table
