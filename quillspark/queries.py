@@ -44,7 +44,7 @@ def dialect(name: str, tables: str, statement: str, oracle: str, unbounded: bool
 
 dialect("sql_filter_numeric", "lineitem", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 45", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 45")
 dialect("sql_filter_string_ci", "orders", "select o_orderkey, o_orderpriority from orders where o_orderpriority = '1-urgent'", "select o_orderkey, o_orderpriority from orders where lower(o_orderpriority) = '1-urgent'")
-dialect("sql_filter_like_ci", "part", "select p_partkey, p_name from part where p_name like '%E%_1%'", "select p_partkey, p_name from part where lower(p_name) like '%e%_1%'")
+dialect("sql_filter_like_ci", "part", "select p_partkey, p_brand from part where p_brand like 'bRAND_1%'", "select p_partkey, p_brand from part where lower(p_brand) like 'brand_1%'")
 dialect("sql_project_alias", "customer", "select c_custkey as id, c_name as who from customer", "select c_custkey as id, c_name as who from customer")
 dialect("sql_scalar_functions", "customer", "select c_custkey, upper(c_name) as u, lower(c_mktsegment) as l, substr(c_name,2,4) as s, substr(c_name,5) as r from customer", "select c_custkey, upper(c_name) as u, lower(c_mktsegment) as l, substr(c_name,2,4) as s, substr(c_name,5) as r from customer")
 dialect("sql_group_multi", "lineitem", "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as qty, avg(l_quantity) as mean, max(l_discount) as disc from lineitem group by l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as qty, avg(l_quantity) as mean, max(l_discount) as disc from lineitem group by all")

@@ -10,7 +10,7 @@ from .operators import chunks, exchange, folders, gate, governance, inbox, lines
 from .plans import jobs, parser, render
 from .plans.engine import Engine
 from .plans.errors import QueryError
-from .queries import _LINES, _SIGNALS, _t, dialect, query
+from .queries import _SIGNALS, _t, dialect, query
 from .sources import csv_source, office, sheet_table
 
 dialect("sql_limit_unbounded", "orders", "select o_orderkey from orders order by o_orderkey limit 3", "select o_orderkey from orders order by o_orderkey limit 3")
@@ -145,9 +145,12 @@ c as (select *, count(*) over (partition by doc_id, k) as c from k)"""
 query("line_repeated_removed", f"with {_RUNNING} select doc_id, line_no, line from c where k = '' or c < greatest(4, n // 90)")(lambda spark, d: lines.without_repeated(_t(spark, d, "documents")))
 
 
-@query("line_page_noise", rf"with {_LINES} select doc_id, count(*) as n from l where regexp_matches(trim(line, E' \t'), '^(?:(?i:page\s*)?[0-9]{{1,5}}\s*(?:/\s*[0-9]{{1,5}})?|[-–—]\s*[0-9]{{1,5}}\s*[-–—])$') group by doc_id")
+@query("line_page_noise", r"""with t as (select doc_id, text || chr(10) || ' Page 3 / 9' || chr(10) || '- 12 -' || chr(10) || 'page 7 of' || chr(10) || doc_id as text from documents),
+l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as line from t)
+select doc_id, count(*) as n from l where regexp_matches(trim(line, E' \t'), '^(?:(?i:page\s*)?[0-9]{1,5}\s*(?:/\s*[0-9]{1,5})?|[-–—]\s*[0-9]{1,5}\s*[-–—])$') group by doc_id""")
 def _(spark, d):
-    return lines.lines(_t(spark, d, "documents")).filter(lines.page_noise(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    more = F.concat("text", F.lit("\n Page 3 / 9\n- 12 -\npage 7 of\n"), F.col("doc_id").cast("string"))
+    return lines.lines(_t(spark, d, "documents").withColumn("text", more)).filter(lines.page_noise(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 # Fixed examples: a text and how it reads when masked, for each rule.
