@@ -22,7 +22,7 @@ import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +96,16 @@ class Encoder:
         return [self._defined([t])[0] if any(x in t for x in self.added) else np.array(self.ranks.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
-def _vocabulary(spark: SparkSession, path: str | None):
-    """The definition and its ranks, sent to every executor: of a fixed size."""
-    with open(path or env_path("byte_bpe_50k.json", "QUILLSPARK_BPE_JSON"), encoding="utf-8") as f:
+@lru_cache(maxsize=1)
+def _read(path: str) -> tuple[str, dict[bytes, int] | None, list[str]]:
+    with open(path, encoding="utf-8") as f:
         definition = f.read()
-    return spark.sparkContext.broadcast((definition, byte_ranks(definition), added_tokens(definition)))
+    return definition, byte_ranks(definition), added_tokens(definition)
+
+
+def _vocabulary(spark: SparkSession, path: str | None):
+    """The definition, its ranks and added tokens, sent to every executor: of a fixed size."""
+    return spark.sparkContext.broadcast(_read(path or env_path("byte_bpe_50k.json", "QUILLSPARK_BPE_JSON")))
 
 
 def _groups(b: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:

@@ -12,13 +12,12 @@ long texts are counted whole; a score equal to the threshold is kept.
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, table
+from .common import labelled, spent, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Buckets of the counts. The model folds them to a power of two that is at least the n-grams by GRAMS
@@ -155,29 +154,25 @@ def bucket_counts(
     return counted.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")) if blocks > 1 else counted
 
 
-def folded(counts: list[tuple[int, int, int]], buckets: int = BUCKETS, least: int = LEAST_BUCKETS, grams: int = GRAMS) -> tuple[list[tuple[int, int, int]], int]:
-    """The counts in the buckets that the corpus fills, and how many those are."""
-    n = least
-    while n < buckets and n * grams < sum(r for _, r, _ in counts):
+def ratio_list(spark: SparkSession, counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> tuple[str, int]:
+    """log p_target/p_raw of as many buckets as the corpus fills, as one JSON list, and their number.
+
+    The target is smoothed towards the raw distribution; empty buckets have 0. Computed by Spark, so the
+    driver gets one text of ``buckets`` short numbers at most.
+    """
+    counts = written(spark, counts, "buckets")
+    r = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    n = LEAST_BUCKETS
+    while n < buckets and n * GRAMS < r[0]:
         n *= 2
     n = min(n, buckets)
-    raw, target = [0] * n, [0] * n
-    for b, r, t in counts:
-        raw[b % n] += r
-        target[b % n] += t
-    return [(b, r, t) for b, (r, t) in enumerate(zip(raw, target, strict=True)) if r], n
-
-
-def log_ratios(counts: list[tuple[int, int, int]], buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
-    """log p_target/p_raw of each bucket, the target smoothed towards the raw distribution."""
-    raw_all = sum(r for _, r, _ in counts) or 1
-    target_all = sum(t for _, _, t in counts)
-    out = [0.0] * buckets
-    for b, r, t in counts:
-        p = r / raw_all
-        q = (t + prior * buckets * p) / (target_all + prior * buckets)
-        out[b] = round(math.log(q / p), 4)
-    return out
+    each = counts.groupBy(F.pmod("b", F.lit(n)).cast("long").alias("id")).agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    p = F.col("raw") / F.lit(float(max(r[0], 1)))
+    q = (F.col("target") + F.lit(prior * n) * p) / F.lit(float(r[1] + prior * n))
+    dense = spark.range(n).join(each, "id", "left").select("id", F.coalesce(F.round(F.log(q / p), 4), F.lit(0.0)).alias("x"))
+    row = dense.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda e: e["x"])).alias("l")).first()
+    spent(spark, counts)
+    return row["l"], n
 
 
 def judge(
@@ -190,8 +185,8 @@ def judge(
 ) -> DataFrame:
     """Base counts, verdict, llr score and row (the input's) of every row of ``docs`` (doc_id, text)."""
     # bounded by ``buckets``, whatever the corpus: a literal array of as many doubles
-    counts, buckets = folded([tuple(r) for r in bucket_counts(docs, trusted, orders, buckets).collect()], buckets)
-    ratios = F.from_json(F.lit(json.dumps(log_ratios(counts, buckets))), "array<double>")
+    listed, buckets = ratio_list(spark, bucket_counts(docs, trusted, orders, buckets), buckets)
+    ratios = F.from_json(F.lit(listed), "array<double>")
     d = base_counts(docs).withColumn("ng", _buckets("h", orders, buckets))
     total = F.aggregate("ng", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     llr = F.round(F.when(F.size("ng") > 0, total / F.size("ng")).otherwise(0.0), 9)
