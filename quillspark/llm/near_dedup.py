@@ -14,8 +14,10 @@ last segment, since its wrong bit lies in the other). Pairs that meet are verifi
 Where a ``similarity`` is asked for (the pipeline's stage), texts whose sets of five-word shingles reach
 that Jaccard similarity are linked too. Candidates share a key of BANDS bands of ROWS MinHash values
 (a pair at 0.8 shares none with a chance of 3 in a million; more similar pairs, less), and every link
-is checked on the whole sets. Each key's texts meet its smallest one first; then only texts that the
-links so far leave in different components meet, so a large group of near copies costs no square.
+is checked on the whole sets. Each key's texts meet its most central one first, that whose keys hold most
+texts, which joins the core of a group of near copies. Texts of one key that are still in different
+components then meet by an exact prefix and positional filter (``apart``), which no pair of that
+similarity fails, instead of each with each.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; equal fingerprints
 are one class, whatever the number of rows; a null id is no component's smallest (a component of
@@ -43,6 +45,10 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 DISTANCE = 3
 #: MinHash keys of the similarity links.
 BANDS, ROWS = 32, 5
+#: Counts of shingles that order them, whatever the input.
+ORDER_SLOTS = 1 << 20
+#: Classes of set sizes for each power of e; any number gives the same pairs.
+SIZE_CLASSES = 20
 #: Slots of the bitmap of candidate texts, whatever the input.
 SLOTS = 1 << 22
 
@@ -221,6 +227,69 @@ def _sets(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "th long, s array<long>")
 
 
+def apart(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: candidates among (th, root, s) for pairs of ``similarity`` or more with different roots; none is missed.
+
+    In one order of all shingles, the first that two sets share lies at places p and q; before it they
+    share none, so they share min(n - p, m - q) at most, and need similarity / (1 + similarity) * (n + m).
+    The order puts rare shingles first. It counts them in ORDER_SLOTS slots: where several share one, the
+    order is another, and as right.
+    """
+    sets = written(spark, sets.select("s", "th", "root"), "apart")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(ORDER_SLOTS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy() & (ORDER_SLOTS - 1), minlength=ORDER_SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["slot", "n"])
+
+    slots = sets.select("s").mapInArrow(seen, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # ORDER_SLOTS rows at most
+    rarity = np.zeros(ORDER_SLOTS, np.uint8)  # 0: in one set only
+    rarity[slots.column("slot").to_numpy()] = np.ceil(8 * np.log2(slots.column("n").to_numpy())).clip(0, 255)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            rows, n, g, p = [], [], [], []
+            for i, s in enumerate(b.column(0)):
+                s = s.values.to_numpy()
+                r = rarity[s & (ORDER_SLOTS - 1)]
+                # a partner has similarity * n shingles at least
+                o = np.lexsort((s, r))[: int(len(s) * (1 - similarity) + 1e-6) + 1]
+                at = np.flatnonzero(r[o])
+                rows.append(np.full(len(at), i))
+                n.append(np.full(len(at), len(s), np.int32))
+                g.append(s[o[at]])
+                p.append(at.astype(np.int32))
+            if rows:
+                rows, n, g, p = map(np.concatenate, (rows, n, g, p))
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows)), *map(pa.array, (n, g, p))], ["th", "root", "n", "g", "p"])
+
+    prefix = written(spark, sets.mapInArrow(first, "th long, root long, n int, g long, p int"), "prefixes")
+    most = prefix.groupBy("g", "root").agg(F.count("*").alias("c")).groupBy("g")
+    most = most.agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("g", F.col("m.root").alias("major"))
+    some = written(spark, prefix.join(most, "g").select("g", "th", "root", "n", "p", "major"), "shared")
+    # the smaller set, m, shares its first at a place q that leaves a partner of its own size room; the larger, n,
+    # at any place p, which bounds m: sizes meet by classes, so that deep places do not meet their like
+    n, left, need = F.col("n"), F.col("n") - F.col("p"), similarity / (1 + similarity)
+    size_class = lambda x: F.floor(F.log(x) * F.lit(SIZE_CLASSES)).cast("int")
+    least = F.greatest(n * F.lit(similarity) - 1e-6, F.lit(1.0))
+    classes = F.explode(F.sequence(size_class(least), size_class(F.greatest(least, F.least(n, left / F.lit(need) - n + 1e-6)))))
+    names = lambda d, x: d.toDF("g", *(f"{c}{x}" for c in d.columns[1:-1]), "class")
+    small = names(some.filter(left >= n * F.lit(2 * need) - 1e-6).withColumn("class", size_class(n)), "y")
+    large = names(some.withColumn("class", classes), "x")
+    fits = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= (F.col("nx") + F.col("ny")) * F.lit(need) - 1e-6
+    fits = fits & (F.col("rootx") != F.col("rooty")) & (F.col("ny") <= F.col("nx"))
+    # of a shingle's most frequent root no two sets need meet
+    x_few, y_few = F.col("rootx") != F.col("majorx"), F.col("rooty") != F.col("majory")
+    sides = (small.filter(y_few), large), (small.filter(~y_few), large.filter(x_few))
+    met = [y.join(x, ["g", "class"]).filter(fits).select("thx", "thy") for y, x in sides]
+    met = met[0].union(met[1])
+    met = written(spark, met.select(F.least("thx", "thy").alias("a"), F.greatest("thx", "thy").alias("b")).distinct(), "met")
+    spent(spark, sets, prefix, some)
+    return met
+
+
 def similar(spark: SparkSession, docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
     """(a, b), a < b: fingerprints with texts of ``similarity`` or more, as far as ``edges`` leave them apart.
 
@@ -231,8 +300,8 @@ def similar(spark: SparkSession, docs: DataFrame, rows: DataFrame, edges: DataFr
     fps = rows.groupBy("th").agg(F.first("fp").alias("fp"))
     texts = written(spark, texts.join(fps, "th"), "texts")
     flat = texts.select(F.explode("keys").alias("key"), "th")
-    heads = flat.groupBy("key").agg(F.min("th").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    met = written(spark, flat.join(heads, "key"), "buckets")
+    sizes = flat.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = written(spark, flat.join(sizes, "key"), "buckets")
 
     slots = met.select(F.col("th").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()
     marks = np.zeros(SLOTS, bool)
@@ -254,20 +323,21 @@ def similar(spark: SparkSession, docs: DataFrame, rows: DataFrame, edges: DataFr
         spent(spark, listed)
         return found
 
-    first = written(spark, met.filter("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b")).distinct(), "stars")
-    one = linked(first)
-    # texts of one key that are still in different components meet each other
+    central = met.groupBy("th").agg(F.sum("c").alias("rank"))
+    ranked = met.select("key", "th").join(central, "th")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("rank", "th")).alias("m")).select("key", F.col("m.th").alias("head"))
+    stars = met.join(heads, "key").filter("th <> head").select(F.least("head", "th").alias("a"), F.greatest("head", "th").alias("b"))
+    one = linked(stars.distinct())
+    # texts of one key that are still in different components
     roots = connected(spark, edges.union(one)).toDF("fp", "root")
     member = met.select("key", "th").join(named.select("th", "fp"), "th").join(roots, "fp", "left")
     member = written(spark, member.select("key", "th", F.coalesce("root", "fp").alias("root")), "parted")
-    most = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
-    most = most.agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1")
-    rest = member.join(most.select("key", F.col("m.root").alias("major")), "key")
-    few = rest.filter("root <> major").select("key", F.col("th").alias("x"), F.col("root").alias("rx"))
-    pairs = few.join(rest.select("key", F.col("th").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = written(spark, one.union(linked(pairs.join(first, ["a", "b"], "left_anti"))).distinct(), "links")
-    spent(spark, texts, met, sets, first, member, one)
+    mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    rest = member.join(mixed, "key").select("th", "root").distinct()
+    pairs = apart(spark, rest.join(sets, "th"), similarity)
+    found = linked(pairs)
+    both = written(spark, one.union(found).distinct(), "links")
+    spent(spark, texts, met, sets, member, one, pairs, found)
     return both
 
 
