@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,11 +152,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     return out
 
 
+def release() -> None:
+    """Hand memory that is no longer used back to the system.
+
+    A Python worker serves task after task, and the allocators keep what a task has freed; an executor's
+    workers then hold the most that any operator of the session took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def sliced(batches, rows: int = 256):
     """Arrow batches in slices, so that a task holds few texts as Python objects at once."""
+    release()  # what the worker's last task left
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b  # before the next one is read
+    release()
 
 
 def env_path(default: str, name: str) -> str:

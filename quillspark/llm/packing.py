@@ -274,9 +274,10 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
     p = written(spark, pieces(spark, docs, capacity, end_id, path), "pieces")
     histogram = {r["length"]: r["count"] for r in p.groupBy("length").count().orderBy(F.desc("length")).collect()}
     rows = plan(histogram, capacity)  # bounded by the capacity, not by the data
-    places = spark.createDataFrame(
-        rows or [(0,) * 7], "length long, r0 long, r1 long, sub long, n long, seq long, offset long"
-    )
+    # by Arrow, as a list of rows would go through Python workers of another kind, which stay in the executors
+    names = ["length", "r0", "r1", "sub", "n", "seq", "offset"]
+    columns = zip(*(rows or [(0,) * 7]), strict=True)
+    places = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
     r = ranked(p)
     on = (r["length"] == places["length"]) & (r["rank"] >= places["r0"]) & (r["rank"] < places["r1"])
     placed = r.join(F.broadcast(places), on).select(

@@ -29,9 +29,9 @@ SLOTS, WIDTH, NONZERO, WINDOW = 1 << 14, 32, 2, 2
 MAX_ROWS, MAX_CHARS = 8_000, 20_000_000
 HIDDEN = 24
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE = 500_000
-#: Tokens counted at once.
-BATCH = 1_000_000
+CACHE = 100_000
+#: Tokens counted at once; the sums are the same for any number.
+BATCH = 1 << 17
 
 
 class Slots(dict):
