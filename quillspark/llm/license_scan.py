@@ -11,12 +11,14 @@ its distinct words. The join follows from the usual filters, none of which loses
 * position: a match whose first common word is the template's i-th and the block's j-th must leave at
   least ``need`` words from there on in both; pairs failing that are dropped before they are verified.
 
-Word frequencies are counted over all documents.
+Word frequencies are counted over all documents, once a scan.
 
 With ``wrapped`` (the query's form), notices that run across line ends are found too: a span of as
 many consecutive words as the template has, divided by ``share`` (room for words between), must hold
 ``need`` of its distinct words. Any such span holds a word of the prefix, so the words around each
 of these are compared, with every place of the span in them. A label found only so counts as one block.
+Texts go on in stretches of ``STRETCH`` words, each with the words that spans from it can reach, so that a
+row's memory grows with its text and not with the spans in it.
 
 Defined cases: null counts as empty (no words, no labels, score 0); null ids and repeated rows are
 kept; wholly equal rows get equal results; very long texts are read whole; words of equal frequency are
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ from .common import table
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 SHARE = 0.8
+#: The places of so many words are listed at once.
+STRETCH = 512
 #: Well-known notices, as words in lower case; the label is the method's own.
 TEMPLATES = (
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -74,16 +79,24 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     return {r["w"]: r["n"] for r in own.groupBy("w").agg(F.count("*").alias("n")).collect()}  # the templates' words
 
 
-def prefix_pairs(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+def _index(spark: SparkSession, prefix: list[tuple], names: list[str]) -> DataFrame:
+    """The templates' prefixes as a table, by Arrow: a list of rows would start Python workers in every executor."""
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int32() if isinstance(c[0], int) else None) for c in zip(*prefix)], names))
+
+
+def prefix_pairs(
+    spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, frequency: dict[str, int] | None = None
+) -> DataFrame:
     """Lines and templates that share a word of both prefixes, with its place in each (i, j) and all their words.
 
     ``docs`` has doc_id and text; th is the text's hash, which with the id names the document. A line's
-    words are those of any template, from the rarest in the corpus up, like a template's.
+    words are those of any template, from the rarest in the corpus up, like a template's. ``frequency`` is
+    that of :func:`frequencies`, if known.
     """
-    frequency = frequencies(docs, templates)
+    frequency = frequencies(docs, templates) if frequency is None else frequency
     rows = template_rows(frequency, templates, share)
     prefix = [(w, label, i, size, need, words) for label, words, size, need, k in rows for i, w in enumerate(words[:k])]
-    index = spark.createDataFrame(prefix, "w string, label string, i int, size int, need int, words array<string>")
+    index = _index(spark, prefix, ["w", "label", "i", "size", "need", "words"])
     rare = F.array(*(F.lit(w) for w in sorted({p[0] for p in prefix})))
     order = sorted({w for r in rows for w in r[1]}, key=lambda w: (frequency.get(w, 0), w))
     near = docs.filter(F.arrays_overlap(_split(F.lower("text")), rare))
@@ -106,27 +119,40 @@ def may_match():
     return (n >= F.col("need")) & (F.least(F.col("size") - F.col("i"), n - F.col("j")) >= F.col("need"))
 
 
-def matches(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+def matches(
+    spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, frequency: dict[str, int] | None = None
+) -> DataFrame:
     """(doc_id, th, line, label, containment): every block that reaches a template's share."""
-    met = prefix_pairs(spark, docs, templates, share).filter(may_match())
+    met = prefix_pairs(spark, docs, templates, share, frequency).filter(may_match())
     # the first common word alone carries a pair on, so each pair is verified once
     common = F.array_intersect("words", "tokens")
     met = met.filter(F.element_at(common, 1) == F.col("w")).withColumn("common", F.size(common))
     return met.filter("common >= need").select("doc_id", "th", "line", "label", (F.col("common") / F.col("size")).alias("containment"))
 
 
-def spans(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
+def spans(
+    spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, frequency: dict[str, int] | None = None
+) -> DataFrame:
     """(doc_id, th, label, containment): every template that spans of a document reach, across line ends."""
-    rows = template_rows(frequencies(docs, templates), templates, share)
+    frequency = frequencies(docs, templates) if frequency is None else frequency
+    rows = template_rows(frequency, templates, share)
     length = {label: math.ceil(len(text.split()) / share - 1e-9) for label, text in templates}
     longest = max(length.values())
     prefix = [(w, label, length[label], size, need, words) for label, words, size, need, k in rows for w in words[:k]]
-    index = spark.createDataFrame(prefix, "w string, label string, len int, size int, need int, words array<string>")
+    index = _index(spark, prefix, ["w", "label", "len", "size", "need", "words"])
     rare = F.array(*(F.lit(w) for w in sorted({p[0] for p in prefix})))
     near = docs.filter(F.arrays_overlap(_split(F.lower("text")), rare))
     words = F.filter(_split(F.translate("text", UPPER, LOWER)), lambda x: x != "")
     near = near.select("doc_id", F.xxhash64("text").alias("th"), words.alias("all"))
-    places = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda a: F.array_contains(rare, a["w"]))
+
+    def stretch(at):
+        start = F.greatest(at - (longest - 1), F.lit(0))
+        return F.struct((at - start).alias("at"), F.slice("all", start + 1, at - start + STRETCH + longest - 1).alias("all"))
+
+    firsts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STRETCH))
+    near = near.select("doc_id", "th", F.explode(F.transform(firsts, stretch)).alias("s")).select("doc_id", "th", "s.*")
+    own = F.transform(F.slice("all", F.col("at") + 1, F.lit(STRETCH)), lambda x, i: F.struct(x.alias("w"), (i + F.col("at")).alias("i")))
+    places = F.filter(own, lambda a: F.array_contains(rare, a["w"]))
 
     def around(a):
         start = F.greatest(a["i"] - (longest - 1), F.lit(0))
@@ -179,9 +205,10 @@ def scan(
     every = F.concat(*(F.col(f"at{i}") for i in range(len(found))))
     base = F.array_compact(F.array(*(F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(found))))
     d = d.select("doc_id", "th", "n_words", every.alias("at"), F.sort_array(F.array_distinct(base)).alias("base"))
-    own = matches(spark, docs, templates, share).select("doc_id", "th", "label", "containment", F.lit(1).alias("block"))
+    frequency = frequencies(docs, templates)
+    own = matches(spark, docs, templates, share, frequency).select("doc_id", "th", "label", "containment", F.lit(1).alias("block"))
     if wrapped:
-        own = own.union(spans(spark, docs, templates, share).withColumn("block", F.lit(0)))
+        own = own.union(spans(spark, docs, templates, share, frequency).withColumn("block", F.lit(0)))
     own = own.groupBy("doc_id", "th", "label").agg(F.max("containment").alias("containment"), F.greatest(F.sum("block"), F.lit(1)).alias("blocks"))
     own = own.groupBy("doc_id", "th").agg(
         F.collect_set("label").alias("own"), F.max("containment").alias("best"), F.sum("blocks").alias("n_blocks")
